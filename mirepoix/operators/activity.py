@@ -28,9 +28,15 @@ def graph_counts(df: DataFrame, recipe: str = "ID_RECIPE", ingredient: str = "ID
     )
 
 
-def user_stats(df: DataFrame, user: str = "USER_ID", kind: str = "type") -> DataFrame:
-    """Own recipes and reviews per user; 0 where a user has none."""
-    counts = df.groupBy(user).pivot(kind, ["reviews", "recipes"]).count()
+def user_stats(
+    df: DataFrame, user: str = "USER_ID", kind: str = "type", weight: str | None = None
+) -> DataFrame:
+    """Own recipes and reviews per user; 0 where a user has none.
+
+    ``weight`` names a column that counts the copies a row stands for.
+    """
+    pivoted = df.groupBy(user).pivot(kind, ["reviews", "recipes"])
+    counts = pivoted.count() if weight is None else pivoted.agg(F.sum(weight))
     return counts.select(
         user,
         F.coalesce(F.col("recipes"), F.lit(0)).alias("total_recipes"),

@@ -77,7 +77,7 @@ def ingredient_profile(
     places it could be joined. ``relative`` adds the frequency per recipe of the user.
     """
     weighted = salted_join(ingredients.select(recipe, ingredient), idf, [ingredient], spread=[recipe])
-    pairs = salted_join(interactions.select(user, recipe), weighted, [recipe], spread=[user])
+    pairs = salted_join(interactions.select(user, recipe), weighted, [recipe], spread=[user], fan_out=True)
     profile = pairs.groupBy(user, ingredient).agg(
         F.count(F.lit(1)).alias("ABSOLUTE_FREQUENCY"), F.max("IDF").alias("__idf")
     )

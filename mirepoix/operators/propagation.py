@@ -17,14 +17,18 @@ def propagated_ratings(
     ingredient: str = "ID_INGREDIENT",
     rating: str = "RATING",
 ) -> DataFrame:
-    """Learn: mean rating a user gave to the recipes with an ingredient."""
+    """Learn: mean rating a user gave to the recipes with an ingredient.
+
+    Ratings are whole numbers, so the mean is the same in whatever order they are added.
+    """
     rated = salted_join(
         training.select(user, recipe, F.col(rating).cast("int").alias(rating)),
         ingredients.select(recipe, ingredient),
         [recipe],
         spread=[user],
+        fan_out=True,
     )
-    return rated.groupBy(user, ingredient).agg(steady(F.avg(rating)).alias("INGR_RATING"))
+    return rated.groupBy(user, ingredient).agg(F.avg(rating).alias("INGR_RATING"))
 
 
 def propagation_predict(
@@ -41,7 +45,9 @@ def propagation_predict(
     ``test`` holds distinct pairs and may carry their rating. Pairs of which no ingredient is known
     drop out. Test columns ride along as grouping keys, which saves joining them back.
     """
-    listed = salted_join(test, ingredients.select(recipe, ingredient), [recipe], spread=[user])
+    listed = salted_join(
+        test, ingredients.select(recipe, ingredient), [recipe], spread=[user], fan_out=True
+    )
     known = salted_join(
         listed,
         propagated,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mirepoix.functions import column_min, hash_fraction
 from mirepoix.operators.activity import group_count
-from mirepoix.operators.ingest import filter_by_keys
+from mirepoix.operators.ingest import dedupe, filter_by_keys
 from mirepoix.operators.skew import salted_join
 
 
@@ -112,17 +112,17 @@ def percent_split(
     user: str = "USER_ID",
     recipe: str = "RECIPE_ID",
 ) -> DataFrame:
-    """Distinct (user, recipe) reviews of users with at least ``min_reviews``, each on one side.
+    """Reviews of users with at least ``min_reviews`` of them, each on one side of a split.
 
-    Reviews are sampled into SPLIT = train with probability ``training``; the rest are test.
-    ``max_users`` keeps the users with the lowest ids, as a sample of users; default all.
+    SPLIT = train with probability ``training``, else test. The side depends on the (user, recipe) pair,
+    so repeats of a pair stay together and the two sides cannot overlap. ``max_users`` keeps the users
+    with the lowest ids, as a sample of users; default all.
     """
     users = group_count(reviews, [user]).filter(F.col("N") >= min_reviews).select(user)
     if max_users is not None:
         users = users.orderBy(user).limit(max_users)
-    pairs = filter_by_keys(reviews.select(user, recipe), users, [user]).distinct()
     drawn = hash_fraction(user, recipe, seed=seed, portable=portable) < training
-    return pairs.withColumn("SPLIT", F.when(drawn, "train").otherwise("test"))
+    return filter_by_keys(reviews, users, [user]).withColumn("SPLIT", F.when(drawn, "train").otherwise("test"))
 
 
 def rated_split(
@@ -132,7 +132,7 @@ def rated_split(
     recipe: str = "RECIPE_ID",
     rating: str = "RATING",
 ) -> DataFrame:
-    """Give the split pairs their ratings. Both sides of the split share the one join."""
+    """Give the pairs of a split their ratings. Both sides of the split share the one join."""
     return ratings.select(user, recipe, rating).join(split, [user, recipe])
 
 
@@ -166,8 +166,6 @@ def split_assets(
     recipe: str = "RECIPE_ID",
 ) -> dict[str, DataFrame]:
     """The tables of one side of a split: rows of its recipes, one per the table's key."""
-    from mirepoix.operators.ingest import dedupe
-
     recipes = split.select(recipe).distinct()
     return {
         name: dedupe(filter_by_keys(df, recipes, [recipe]), keys) for name, (df, keys) in tables.items()

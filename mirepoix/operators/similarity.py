@@ -74,7 +74,9 @@ def ingredient_similarity(
     without ingredients, null for a user whose profile has no length.
     """
     heavy_users = heavy_keys(pairs.select(user), [user])
-    listed = salted_join(pairs, ingredients.select(recipe, ingredient), [recipe], "left", spread=[user])
+    listed = salted_join(
+        pairs, ingredients.select(recipe, ingredient), [recipe], "left", spread=[user], fan_out=True
+    )
     listed = salted_join(
         listed,
         profile.select(user, ingredient, *[w for w, _ in weights]),

@@ -12,27 +12,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PARTS = 1000
-FLOOR_ROWS = 100_000
+MAX_KEYS = 1000
+MAX_SHARDS = 2000
+SHARD_ROWS = 1_000_000
 NULL_SHARDS = 64
 
 _ROWS, _SHARDS, _SALT = "__rows", "__shards", "__salt"
 
 
-def heavy_keys(
-    df: DataFrame, keys: Sequence[str], parts: int = PARTS, floor_rows: int = FLOOR_ROWS
-) -> DataFrame:
-    """Keys with more than one ``parts``-th of all rows (and more than ``floor_rows``), with a shard count.
+def heavy_keys(df: DataFrame, keys: Sequence[str], shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The largest keys with more than ``shard_rows`` rows, and how many shards to cut each into.
 
-    Fewer than ``parts`` keys can pass, whatever the size of ``df``: that bound is what makes the
-    result safe to broadcast.
+    At most ``MAX_KEYS`` rows come out whatever the size of ``df``, which is what makes the result safe
+    to broadcast; a key that is not among them holds less than one ``MAX_KEYS``-th of the rows.
     """
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS))
-    total = sized.agg(F.sum(_ROWS)).scalar()
-    shard_rows = F.greatest(total / F.lit(float(parts)), F.lit(float(floor_rows)))
-    return sized.filter(F.col(_ROWS) > shard_rows).select(
-        *keys, F.ceil(F.col(_ROWS) / shard_rows).cast("int").alias(_SHARDS)
-    )
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS)).filter(F.col(_ROWS) > shard_rows)
+    largest = sized.orderBy(F.desc(_ROWS), *keys).limit(MAX_KEYS)
+    shards = F.least(F.ceil(F.col(_ROWS) / shard_rows), F.lit(MAX_SHARDS))
+    return largest.select(*keys, shards.cast("int").alias(_SHARDS))
 
 
 def salted_join(
@@ -42,20 +39,22 @@ def salted_join(
     how: str = "inner",
     spread: Sequence[str] | None = None,
     heavy: DataFrame | None = None,
-    parts: int = PARTS,
-    floor_rows: int = FLOOR_ROWS,
+    shard_rows: int = SHARD_ROWS,
+    fan_out: bool = False,
 ) -> DataFrame:
     """USING join of a possibly skewed ``left`` with ``right``; same rows as the plain join.
 
     ``spread`` names the left columns whose hash picks the shard (default: all). Equal rows share a
     shard, so pre-aggregate exact copies. ``heavy`` is a result of :func:`heavy_keys` over some of the
-    ``on`` columns, for when it can be had from a smaller table than ``left``.
+    ``on`` columns, for when it can be had from a smaller table than ``left``. ``fan_out`` says that a
+    row meets many: then both sides are shuffled, as a broadcast would leave the much larger output in
+    the few tasks of the streamed side.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot spread the left side of a {how} join")
     on = list(on)
     if heavy is None:
-        heavy = heavy_keys(left.select(*on), on, parts, floor_rows)
+        heavy = heavy_keys(left, on, shard_rows)
     heavy_on = [c for c in heavy.columns if c != _SHARDS]
     hot = F.broadcast(heavy)
     shards = F.coalesce(F.col(_SHARDS), F.lit(1))
@@ -73,4 +72,6 @@ def salted_join(
     copied_right = right.join(hot, heavy_on, "left").select(
         *right.columns, F.explode(F.sequence(F.lit(0), shards - 1)).alias(_SALT)
     )
+    if fan_out:
+        copied_right = copied_right.hint("merge")
     return spread_left.join(copied_right, [*on, _SALT], how).drop(_SALT)

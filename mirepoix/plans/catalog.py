@@ -50,7 +50,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
-def content(spark: SparkSession, sf_dir: str, staged: bool = False) -> ContentRecommender:
+def content(spark: SparkSession, sf_dir: str, staged: bool = True) -> ContentRecommender:
     return ContentRecommender(
         fx.recipes(spark, sf_dir),
         fx.ingredients(spark, sf_dir),
@@ -61,7 +61,7 @@ def content(spark: SparkSession, sf_dir: str, staged: bool = False) -> ContentRe
     )
 
 
-def propagation(spark: SparkSession, sf_dir: str, staged: bool = False) -> PropagationRecommender:
+def propagation(spark: SparkSession, sf_dir: str, staged: bool = True) -> PropagationRecommender:
     return PropagationRecommender(
         fx.reviews(spark, sf_dir), fx.ingredients(spark, sf_dir), portable=True, staged=staged
     )
@@ -196,7 +196,9 @@ def user_nutrition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rated_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return propagation(spark, sf_dir).split
+    reviews = fx.reviews(spark, sf_dir)
+    split = sampling.percent_split(reviews.select("USER_ID", "RECIPE_ID"), portable=True)
+    return sampling.rated_split(split, reviews)
 
 
 @query
@@ -313,35 +315,35 @@ def ingredient_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingredient_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content(spark, sf_dir, staged=True).ingredient_profile()
+    return content(spark, sf_dir).ingredient_profile()
 
 
 @query
 def ingredient_profile_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(content(spark, sf_dir, staged=True).ingredient_profile(relative=True))
+    return rounded(content(spark, sf_dir).ingredient_profile(relative=True))
 
 
 @query
 def nutrition_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = content(spark, sf_dir, staged=True)
+    c = content(spark, sf_dir)
     return rounded(similarity.nutrition_similarity(c.test, c.nutrition_profile(), c.vectors["nutrition"]))
 
 
 @query
 def ingredient_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = content(spark, sf_dir, staged=True)
+    c = content(spark, sf_dir)
     profile = sources.stage(c.ingredient_profile(), "ingredient_profile")
     return rounded(similarity.ingredient_similarity(c.test, profile, c.vectors["ingredients"]))
 
 
 @query
 def similarity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(content(spark, sf_dir, staged=True).similarities)
+    return rounded(content(spark, sf_dir).similarities)
 
 
 @query
 def scaled_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = content(spark, sf_dir, staged=True)
+    c = content(spark, sf_dir)
     scored = similarity.nutrition_similarity(c.test, c.nutrition_profile(), c.vectors["nutrition"])
     names = {"NUTRITION_SIMILARITY": ("SCALED_NUT_SIMILARITY", "RATING_NUTRITION")}
     return similarity.scaled_similarity(scored, names, digits=4).drop("NUTRITION_SIMILARITY")
@@ -440,7 +442,8 @@ def quota_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def percent_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.percent_split(fx.reviews(spark, sf_dir), 10, max_users=200, portable=True)
+    pairs = fx.reviews(spark, sf_dir).select("USER_ID", "RECIPE_ID")
+    return sampling.percent_split(pairs, 10, max_users=200, portable=True)
 
 
 @query
@@ -515,14 +518,14 @@ def topk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    similarities = sources.stage(content(spark, sf_dir, staged=True).similarities, "similarities")
+    similarities = sources.stage(content(spark, sf_dir).similarities, "similarities")
     ratings = [small for _, small in similarity.SCORE_NAMES.values()]
     return rounded(evaluation.evaluation_report(similarities, "USER_ID", "RECIPE_ID", "RATING", ratings, 3, KS))
 
 
 @query
 def raw_score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    similarities = content(spark, sf_dir, staged=True).similarities
+    similarities = content(spark, sf_dir).similarities
     return rounded(
         evaluation.confusion_metrics(similarities, "RATING", list(similarity.SCORE_NAMES), 3, 0.5)
     )

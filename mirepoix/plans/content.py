@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.operators import ingest, profiles, sampling, similarity
-from mirepoix.operators.activity import user_stats
+from mirepoix.operators.activity import group_count, user_stats
 from mirepoix.sources import stage
 
 
@@ -28,7 +28,7 @@ class ContentRecommender:
     ratings: DataFrame
     min_reviews: int = 10
     min_recipes: int = 30
-    staged: bool = False
+    staged: bool = True
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return stage(df, name) if self.staged else df
@@ -54,21 +54,23 @@ class ContentRecommender:
         }
 
     @cached_property
-    def bucketed(self) -> DataFrame:
+    def pairs(self) -> DataFrame:
+        """Valid interactions with their copies added up: USER_ID, RECIPE_ID, type, N."""
         kept = ingest.filter_by_keys(
             self.interactions.select("RECIPE_TYPE", "RECIPE_ID", "USER_ID"), self.valid, ["RECIPE_ID"]
         )
-        return self._keep(ingest.bucket_types(kept), "typed_interactions")
+        copies = group_count(ingest.bucket_types(kept), ["USER_ID", "RECIPE_ID", "type"])
+        return self._keep(copies, "typed_pairs")
 
     @cached_property
     def stats(self) -> DataFrame:
-        return user_stats(self.bucketed)
+        return user_stats(self.pairs, weight="N")
 
     @cached_property
     def split(self) -> DataFrame:
-        """Distinct USER_ID, RECIPE_ID, SPLIT."""
-        rows = sampling.type_split(self.stats, self.bucketed, self.min_reviews, self.min_recipes)
-        return self._keep(rows.select("USER_ID", "RECIPE_ID", "SPLIT").distinct(), "type_split")
+        """USER_ID, RECIPE_ID, SPLIT; a pair can be on both sides, but on each only once."""
+        rows = sampling.type_split(self.stats, self.pairs, self.min_reviews, self.min_recipes)
+        return self._keep(rows.select("USER_ID", "RECIPE_ID", "SPLIT"), "type_split")
 
     @cached_property
     def training(self) -> DataFrame:
@@ -108,6 +110,6 @@ class ContentRecommender:
             self.test,
             self.vectors["nutrition"],
             self.vectors["ingredients"],
-            self._keep(self.nutrition_profile(), "nutrition_profile"),
+            self.nutrition_profile(),
             self._keep(self.ingredient_profile(), "ingredient_profile"),
         )

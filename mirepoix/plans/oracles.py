@@ -159,7 +159,7 @@ CTES: dict[str, str] = {
         FROM reviews
         WHERE USER_ID IN (SELECT USER_ID FROM reviews GROUP BY USER_ID HAVING count(*) >= 10)""",
     "propagated": """
-        SELECT USER_ID, ID_INGREDIENT, round(avg(RATING), 10) AS INGR_RATING
+        SELECT USER_ID, ID_INGREDIENT, avg(RATING) AS INGR_RATING
         FROM rated_split JOIN ingredients USING (RECIPE_ID)
         WHERE SPLIT = 'train' GROUP BY USER_ID, ID_INGREDIENT""",
     "predictions": f"""
@@ -264,7 +264,7 @@ def _binary(table: str) -> str:
                CASE WHEN hit > 0 THEN round(r, 6) END AS recall_1,
                CASE WHEN hit > 0 THEN round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) END AS f1_1,
                CASE WHEN miss > 0 THEN round(base, 6) END AS precision_0,
-               CASE WHEN miss > 0 THEN CASE WHEN pos = 0 THEN 0.0 ELSE 1.0 END END AS recall_0,
+               CASE WHEN miss > 0 THEN CAST(CASE WHEN pos = 0 THEN 0 ELSE 1 END AS DOUBLE) END AS recall_0,
                CASE WHEN miss > 0 THEN round(2 * base / (base + 1), 6) END AS f1_0
         FROM (SELECT score, tp + fn AS pos, fp + tn AS neg, tp + fp AS hit, fn + tn AS miss,
                      (tp + fn) / (tp + fn + fp + tn) AS base, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p,

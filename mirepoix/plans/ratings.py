@@ -21,19 +21,18 @@ class PropagationRecommender:
     max_users: int | None = None
     seed: int = 0
     portable: bool = False
-    staged: bool = False
+    staged: bool = True
 
     @cached_property
     def split(self) -> DataFrame:
         """USER_ID, RECIPE_ID, RATING, SPLIT; ``train`` and ``test`` cannot overlap."""
-        sides = sampling.percent_split(
-            self.reviews,
+        rated = sampling.percent_split(
+            self.reviews.select("USER_ID", "RECIPE_ID", "RATING"),
             self.min_reviews,
             self.max_users,
             seed=self.seed,
             portable=self.portable,
         )
-        rated = sampling.rated_split(sides, self.reviews)
         return stage(rated, "rated_split") if self.staged else rated
 
     @cached_property
