@@ -219,5 +219,6 @@ def evaluation_report(
 
 def show_likelihood_ratio(df: DataFrame, digits: int = 3) -> DataFrame:
     """For printing: the ratio as text, MAX where the false positive rate is 0."""
-    ratio = F.format_string(f"%.{digits}f", F.col("likelihood_ratio"))
+    number = F.col("likelihood_ratio")
+    ratio = F.when(number.isNotNull(), F.format_string(f"%.{digits}f", number))
     return df.withColumn("likelihood_ratio", F.when(F.col("fpr") == 0, "MAX").otherwise(ratio))

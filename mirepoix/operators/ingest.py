@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mirepoix.operators.skew import salted_join
+
 # The interaction tags that count as "the user's recipes".
 OWN_RECIPE_TYPES = ("recipes", "madeit", "fav")
 
@@ -71,13 +73,11 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = (
     return df.withColumn("__rn", F.row_number().over(ranked)).filter("__rn <= 1").drop("__rn")
 
 
-def filter_by_keys(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows whose key is in ``keys``. Repeated keys do not multiply rows.
-
-    A semi join sends a left row to one task and keeps or drops it there, so skew means uneven reading
-    only; adaptive execution splits such a partition (it can for a semi join) and no salt is needed.
-    """
-    return df.join(keys.select(*on).distinct(), list(on), "left_semi")
+def filter_by_keys(
+    df: DataFrame, keys: DataFrame, on: Sequence[str], heavy: DataFrame | None = None
+) -> DataFrame:
+    """Rows whose key is in ``keys``. Repeated keys do not multiply rows, heavy ones are spread."""
+    return salted_join(df, keys, on, "left_semi", heavy=heavy)
 
 
 def filter_dataset(
@@ -139,4 +139,4 @@ def exclusive_interactions(
         .filter("__own = 1 AND __rev = 1")
         .select(user, recipe)
     )
-    return df.join(both, [user, recipe], "left_anti")
+    return salted_join(df, both, [user, recipe], "left_anti")

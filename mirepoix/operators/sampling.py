@@ -133,7 +133,7 @@ def rated_split(
     rating: str = "RATING",
 ) -> DataFrame:
     """Give the pairs of a split their ratings. Both sides of the split share the one join."""
-    return ratings.select(user, recipe, rating).join(split, [user, recipe])
+    return salted_join(ratings.select(user, recipe, rating), split, [user, recipe])
 
 
 def held_out(

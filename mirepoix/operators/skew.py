@@ -44,8 +44,9 @@ def salted_join(
 ) -> DataFrame:
     """USING join of a possibly skewed ``left`` with ``right``; same rows as the plain join.
 
-    ``spread`` names the left columns whose hash picks the shard (default: all). Equal rows share a
-    shard, so pre-aggregate exact copies. ``heavy`` is a result of :func:`heavy_keys` over some of the
+    ``spread`` names the left columns whose hash picks the shard. By default that is all of them and the
+    number of the map task, which also separates exact copies; both come out the same when a lost task
+    is run again, as a random number need not. ``heavy`` is a result of :func:`heavy_keys` over some of the
     ``on`` columns, for when it can be had from a smaller table than ``left``. ``fan_out`` says that a
     row meets many: then both sides are shuffled, as a broadcast would leave the much larger output in
     the few tasks of the streamed side.
@@ -60,6 +61,8 @@ def salted_join(
     shards = F.coalesce(F.col(_SHARDS), F.lit(1))
 
     mixed = F.xxhash64(*[F.col(c) for c in (spread or left.columns)])
+    if spread is None:
+        mixed = F.xxhash64(mixed, F.spark_partition_id())
     salt: Column = F.pmod(mixed, shards.cast("bigint"))
     if how in ("left", "left_anti"):
         # a null key matches nothing, so its rows may go anywhere

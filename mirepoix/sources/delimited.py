@@ -63,11 +63,13 @@ def write_delimited(
 
 
 def write_report(df: DataFrame, folder: str, name: str, digits: int = 3) -> str:
-    """Write a metric table as one pipe-separated file, numbers shown with ``digits`` decimals."""
+    """Write a metric table as one pipe-separated file, numbers shown with ``digits`` decimals, nulls empty."""
+
+    def shown_number(c: str):
+        value = F.col(f"`{c}`").cast("double")
+        return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value)).alias(c)
+
     shown = [
-        F.format_string(f"%.{digits}f", F.col(f"`{c}`").cast("double")).alias(c)
-        if t in ("double", "float")
-        else F.col(f"`{c}`")
-        for c, t in df.dtypes
+        shown_number(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes
     ]
     return write_delimited(df.select(*shown), folder, name, single_file=True)
