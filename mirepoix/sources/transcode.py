@@ -12,8 +12,8 @@ def read_encoded_lines(spark: SparkSession, folder: str, encoding: str = "UTF-16
     Files are the unit of parallel work: one file is decoded by one task and must fit in its memory,
     as an encoding such as UTF-16 has no line breaks Spark could split on.
     """
-    text = F.decode(F.col("content"), F.lit(encoding))
-    lines = F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")
+    text = F.decode(F.col("content"), encoding)
+    lines = F.split(F.regexp_replace(text, r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
     return (
         spark.read.format("binaryFile")
         .load(folder)

@@ -89,11 +89,11 @@ def test_libsvm(spark, tmp_path):
 
 def test_transcode(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    lines = {"a.txt": ["ñandú", "", "tres"], "b.txt": ["uno"]}
+    lines = {"a.txt": ["ñandú", "", "tres"], "b.txt": ["uno"], "c.txt": ["x", "", ""]}
     for name, content in lines.items():
         (tmp_path / "in" / name).write_bytes("\r\n".join(content + [""]).encode("utf-16"))
     got = sources.read_encoded_lines(spark, str(tmp_path / "in"))
-    assert got.count() == 4
+    assert got.count() == 7
     out = sources.transcode(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     for name, content in lines.items():
         folder = os.path.join(out, f"source_file={name}")
