@@ -203,10 +203,8 @@ def rated_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def interactions_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    training = content(spark, sf_dir).training
-    rows = fx.interactions(spark, sf_dir).select("USER_ID", "RECIPE_ID", "RECIPE_TYPE")
-    kept = ingest.filter_by_keys(rows, training, ["USER_ID", "RECIPE_ID"])
-    return ingest.dedupe(kept.drop("RECIPE_TYPE"), ["RECIPE_ID", "USER_ID"])
+    pairs = fx.interactions(spark, sf_dir).select("USER_ID", "RECIPE_ID").distinct()
+    return pairs.join(content(spark, sf_dir).training, ["USER_ID", "RECIPE_ID"], "left_semi")
 
 
 # --- aggregation and statistics ------------------------------------------------------------------
@@ -343,10 +341,11 @@ def similarity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scaled_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = content(spark, sf_dir)
-    scored = similarity.nutrition_similarity(c.test, c.nutrition_profile(), c.vectors["nutrition"])
-    names = {"NUTRITION_SIMILARITY": ("SCALED_NUT_SIMILARITY", "RATING_NUTRITION")}
-    return similarity.scaled_similarity(scored, names, digits=4).drop("NUTRITION_SIMILARITY")
+    scored = content(spark, sf_dir).similarities.select(
+        "USER_ID", "RECIPE_ID", "RATING", *similarity.SCORE_NAMES
+    )
+    scaled = similarity.scaled_similarity(scored, digits=4)
+    return scaled.drop(*similarity.SCORE_NAMES)
 
 
 @query
@@ -523,6 +522,14 @@ def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.evaluation_report(similarities, "USER_ID", "RECIPE_ID", "RATING", ratings, 3, KS))
 
 
+@query
+def propagation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predictions = sources.stage(propagation(spark, sf_dir).predictions, "predictions")
+    return rounded(
+        evaluation.evaluation_report(predictions, "USER_ID", "RECIPE_ID", "RATING", ["propR"], 3, KS)
+    )
+
+
 @query
 def raw_score_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     similarities = content(spark, sf_dir).similarities

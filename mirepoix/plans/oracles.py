@@ -403,8 +403,11 @@ BODIES: dict[str, str] = {
                {", ".join(s for _, s in SCORES.values())}
         FROM similarities""",
     "scaled_similarity": f"""
-        SELECT USER_ID, RECIPE_ID, RATING, s AS SCALED_NUT_SIMILARITY, {_rating("s")} AS RATING_NUTRITION
-        FROM (SELECT *, {_decimal_round("NUTRITION_SIMILARITY * 5.0", 4)} AS s FROM nutrition_scores)""",
+        SELECT USER_ID, RECIPE_ID, RATING, {", ".join(b for b, _ in SCORES.values())},
+               {", ".join(f"{_rating(b)} AS {s}" for b, s in SCORES.values())}
+        FROM (SELECT USER_ID, RECIPE_ID, RATING,
+                     {", ".join(f"{_decimal_round(f'{raw} * 5.0', 4)} AS {b}" for raw, (b, _) in SCORES.items())}
+              FROM raw_scores)""",
     "rating_rounding": f"""
         SELECT round(score, 6) AS score, count(*) AS n, {_rating("score")} AS rating,
                CAST(floor(score + 0.5) AS INTEGER) AS nearest
@@ -486,6 +489,10 @@ BODIES: dict[str, str] = {
         JOIN ({_binary("scored_similarities")}) USING (score)
         JOIN ({_confusion("scored_similarities")}) USING (score)
         JOIN ({_precision("scored_similarities")}) USING (score)""",
+    "propagation_report": f"""
+        SELECT * FROM ({_regression("scored")}) JOIN ({_binary("scored")}) USING (score)
+        JOIN ({_confusion("scored")}) USING (score) JOIN ({_precision("scored")}) USING (score)
+        WHERE score = 'propR'""",
     "raw_score_report": _confusion("raw_scored", 0.5),
     "difficulty_dataset": """
         SELECT ID, COOK_TIME, N_INGREDIENTS, N_STEPS, DIFFICULTY FROM difficulty WHERE COOK_TIME > 0""",
