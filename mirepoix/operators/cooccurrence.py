@@ -37,7 +37,8 @@ def top_n_ingredients(
 def _pairs_in_recipe(rows: DataFrame, recipe: str, ingredient: str) -> DataFrame:
     left = rows.select(recipe, F.col(ingredient).alias("ORIGIN"))
     right = rows.select(recipe, F.col(ingredient).alias("DESTINATION"))
-    return left.join(right, recipe).filter("ORIGIN < DESTINATION").select("ORIGIN", "DESTINATION")
+    # the output is far larger than either side: shuffle rather than stream it from a few tasks
+    return left.join(right.hint("merge"), recipe).filter("ORIGIN < DESTINATION").select("ORIGIN", "DESTINATION")
 
 
 def _pairs_across_blocks(rows: DataFrame, recipe: str, ingredient: str, block_rows: int) -> DataFrame:
@@ -57,7 +58,7 @@ def _pairs_across_blocks(rows: DataFrame, recipe: str, ingredient: str, block_ro
         F.explode(F.sequence(F.lit(0), F.col("__block"))).alias("__i"),
         F.col("__block").alias("__j"),
     )
-    met = first.join(second, [recipe, "__i", "__j"]).filter("__i < __j OR __a < __b")
+    met = first.join(second.hint("merge"), [recipe, "__i", "__j"]).filter("__i < __j OR __a < __b")
     return met.select(
         F.least("__a", "__b").alias("ORIGIN"), F.greatest("__a", "__b").alias("DESTINATION")
     )

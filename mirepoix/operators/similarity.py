@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirepoix.functions import cosine, dot, l2_norm, minmax_scale, rating_round, steady
+from mirepoix.functions import cosine, l2_norm, minmax_scale, rating_round, steady
 from mirepoix.operators.profiles import nutrient_columns
 from mirepoix.operators.skew import heavy_keys, salted_join
 
@@ -159,14 +159,3 @@ def dense_cosine(
     """Cosine of two lists of columns of the same row."""
     return df.withColumn(name, cosine([F.col(c) for c in left], [F.col(c) for c in right]))
 
-
-__all__ = [
-    "SCORE_NAMES",
-    "blend",
-    "dense_cosine",
-    "dot",
-    "ingredient_similarity",
-    "nutrition_similarity",
-    "scaled_similarity",
-    "similarity_table",
-]

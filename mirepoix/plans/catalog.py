@@ -76,7 +76,8 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccurrence.top_n_ingredients(fx.baskets(spark, sf_dir), TOP_N)
+    """Rows of the most frequent ingredients, written once as the graph steps read them repeatedly."""
+    return sources.stage(cooccurrence.top_n_ingredients(fx.baskets(spark, sf_dir), TOP_N), "top_rows")
 
 
 # --- sources and sinks ---------------------------------------------------------------------------

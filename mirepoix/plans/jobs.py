@@ -19,6 +19,7 @@ from mirepoix.sources import (
     cast_except,
     read_columnar,
     read_delimited,
+    stage,
     write_columnar,
     write_delimited,
     write_report,
@@ -139,7 +140,8 @@ def propagation_job(
 def graph_job(spark: SparkSession, folder: str, name: str, output: str, top_n: int) -> None:
     """Top-N ingredient rows, their undirected graph and their PMI graph, tab-separated."""
     raw = ingest.drop_sentinel(read_delimited(spark, folder, name), "ID_INGREDIENT")
-    rows = cooccurrence.top_n_ingredients(_ints(raw, "ID_RECIPE", "ID_INGREDIENT"), top_n)
+    top = cooccurrence.top_n_ingredients(_ints(raw, "ID_RECIPE", "ID_INGREDIENT"), top_n)
+    rows = stage(top, "top_rows")
     write_delimited(rows, output, "top_ingredients", TAB)
     write_delimited(cooccurrence.ingredient_graph(rows), output, "graph", TAB, header=False)
     pmi = cooccurrence.ingredient_pmi(rows, max_ingredients=top_n)
