@@ -325,14 +325,14 @@ def ingredient_profile_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def nutrition_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = content(spark, sf_dir)
-    return rounded(similarity.nutrition_similarity(c.test, c.nutrition_profile(), c.vectors["nutrition"]))
+    return rounded(similarity.nutrition_similarity(c.test, c.nutrition_profile(), c.valid_nutrition))
 
 
 @query
 def ingredient_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = content(spark, sf_dir)
     profile = sources.stage(c.ingredient_profile(), "ingredient_profile")
-    return rounded(similarity.ingredient_similarity(c.test, profile, c.vectors["ingredients"]))
+    return rounded(similarity.ingredient_similarity(c.test, profile, c.valid_ingredients))
 
 
 @query

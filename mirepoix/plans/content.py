@@ -38,29 +38,29 @@ class ContentRecommender:
         found = ingest.valid_recipes(self.recipes, self.ingredients, self.nutrition)
         return self._keep(found, "valid_recipes")
 
+    # The tables of the valid recipes, one row per key. Repeats go before the key filter: then no recipe
+    # has more rows than there are ingredients, and plain semi joins stay balanced.
+
     @cached_property
-    def dataset(self) -> dict[str, DataFrame]:
-        """The tables restricted to valid recipes."""
-        tables = {"recipes": self.recipes, "ingredients": self.ingredients, "nutrition": self.nutrition}
-        return ingest.filter_dataset(self.valid, tables)
+    def valid_recipe_rows(self) -> DataFrame:
+        return self.recipes.join(self.valid, "RECIPE_ID", "left_semi")
 
     @cached_property
-    def vectors(self) -> dict[str, DataFrame]:
-        """Ingredients and nutrition with one row per key, as profiles and similarities need them."""
-        listed = self.dataset["ingredients"].select("RECIPE_ID", "ID_INGREDIENT")
-        return {
-            "ingredients": ingest.dedupe(listed, ["RECIPE_ID", "ID_INGREDIENT"]),
-            "nutrition": ingest.dedupe(self.dataset["nutrition"], ["RECIPE_ID"]),
-        }
+    def valid_nutrition(self) -> DataFrame:
+        labelled = ingest.dedupe(self.nutrition, ["RECIPE_ID"])
+        return labelled.join(self.valid, "RECIPE_ID", "left_semi")
+
+    @cached_property
+    def valid_ingredients(self) -> DataFrame:
+        listed = self.ingredients.select("RECIPE_ID", "ID_INGREDIENT").distinct()
+        return self._keep(listed.join(self.valid, "RECIPE_ID", "left_semi"), "valid_ingredients")
 
     @cached_property
     def pairs(self) -> DataFrame:
         """Valid interactions with their copies added up: USER_ID, RECIPE_ID, type, N."""
-        kept = ingest.filter_by_keys(
-            self.interactions.select("RECIPE_TYPE", "RECIPE_ID", "USER_ID"), self.valid, ["RECIPE_ID"]
-        )
-        copies = group_count(ingest.bucket_types(kept), ["USER_ID", "RECIPE_ID", "type"])
-        return self._keep(copies, "typed_pairs")
+        typed = ingest.bucket_types(self.interactions.select("RECIPE_TYPE", "RECIPE_ID", "USER_ID"))
+        copies = self._keep(group_count(typed, ["USER_ID", "RECIPE_ID", "type"]), "typed_pairs")
+        return ingest.filter_by_keys(copies, self.valid, ["RECIPE_ID"])
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -87,29 +87,29 @@ class ContentRecommender:
 
     @cached_property
     def idf(self) -> DataFrame:
-        return profiles.ingredient_idf(self.dataset["recipes"], self.dataset["ingredients"])
+        return profiles.ingredient_idf(self.valid_recipe_rows, self.valid_ingredients)
 
     def assets(self, side: str) -> dict[str, DataFrame]:
         """Recipes, ingredients and nutrition of one side of the split, one row per key."""
         tables = {
-            "recipes": (self.dataset["recipes"], ["RECIPE_ID"]),
-            "ingredients": (self.dataset["ingredients"], ["RECIPE_ID", "ID_INGREDIENT"]),
-            "nutrition": (self.dataset["nutrition"], ["RECIPE_ID"]),
+            "recipes": (self.valid_recipe_rows, ["RECIPE_ID"]),
+            "ingredients": (self.valid_ingredients, ["RECIPE_ID", "ID_INGREDIENT"]),
+            "nutrition": (self.valid_nutrition, ["RECIPE_ID"]),
         }
         return sampling.split_assets(self.split.filter(F.col("SPLIT") == side), tables)
 
     def nutrition_profile(self, how: str = "avg") -> DataFrame:
-        return profiles.nutrition_profile(self.training, self.vectors["nutrition"], how)
+        return profiles.nutrition_profile(self.training, self.valid_nutrition, how)
 
     def ingredient_profile(self, relative: bool = False) -> DataFrame:
-        return profiles.ingredient_profile(self.training, self.vectors["ingredients"], self.idf, relative)
+        return profiles.ingredient_profile(self.training, self.valid_ingredients, self.idf, relative)
 
     @cached_property
     def similarities(self) -> DataFrame:
         return similarity.similarity_table(
             self.test,
-            self.vectors["nutrition"],
-            self.vectors["ingredients"],
-            self.nutrition_profile(),
+            self.valid_nutrition,
+            self.valid_ingredients,
+            self._keep(self.nutrition_profile(), "nutrition_profile"),
             self._keep(self.ingredient_profile(), "ingredient_profile"),
         )
