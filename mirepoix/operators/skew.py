@@ -20,12 +20,14 @@ NULL_SHARDS = 64
 _ROWS, _SHARDS, _SALT = "__rows", "__shards", "__salt"
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The largest keys with more than ``shard_rows`` rows, and how many shards to cut each into.
+def heavy_keys(df: DataFrame, keys: Sequence[str], shard_rows: int | None = None) -> DataFrame:
+    """The largest keys with more than ``shard_rows`` rows (default ``SHARD_ROWS``), and the number of
+    shards to cut each into.
 
     At most ``MAX_KEYS`` rows come out whatever the size of ``df``, which is what makes the result safe
     to broadcast; a key that is not among them holds less than one ``MAX_KEYS``-th of the rows.
     """
+    shard_rows = shard_rows or SHARD_ROWS
     sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS)).filter(F.col(_ROWS) > shard_rows)
     largest = sized.orderBy(F.desc(_ROWS), *keys).limit(MAX_KEYS)
     shards = F.least(F.ceil(F.col(_ROWS) / shard_rows), F.lit(MAX_SHARDS))
@@ -39,7 +41,7 @@ def salted_join(
     how: str = "inner",
     spread: Sequence[str] | None = None,
     heavy: DataFrame | None = None,
-    shard_rows: int = SHARD_ROWS,
+    shard_rows: int | None = None,
     fan_out: bool = False,
 ) -> DataFrame:
     """USING join of a possibly skewed ``left`` with ``right``; same rows as the plain join.

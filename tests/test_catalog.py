@@ -6,6 +6,7 @@ import pytest
 from compare import connect, mismatch, type_mismatch
 
 import __spark_entry__ as contract
+from mirepoix.operators import skew
 
 SF = "/root/testdata/sf0.001"
 QUERIES = contract.queries()
@@ -70,3 +71,21 @@ def test_scans_read_only_what_is_used(spark):
 def test_pairs_are_added_up_before_the_shuffle(spark):
     plan = final_plan(QUERIES["ingredient_graph_blocked"](spark, SF))
     assert plan.count("partial_count") >= 2
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "propagation_predict",
+        "similarity_table",
+        "ingredient_profile_rel",
+        "author_activity",
+        "quota_split",
+        "exclusive_interactions",
+        "rated_split",
+        "reviews_with_recipe",
+    ],
+)
+def test_results_hold_when_every_key_is_heavy(spark, con, monkeypatch, name):
+    monkeypatch.setattr(skew, "SHARD_ROWS", 3)
+    assert mismatch(QUERIES[name](spark, SF), con, ORACLES[name]) is None
