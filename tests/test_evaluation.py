@@ -2,7 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.ml.evaluation import BinaryClassificationEvaluator  # noqa: F401  (MLlib is available)
 from pyspark.sql import functions as F
 
 from mirepoix.operators import evaluation
