@@ -43,3 +43,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mirepoix.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _byte_bpe())
+
+
+@query
+def op6_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirepoix.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirepoix.llm.decontaminate import with_leaks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    leaks = with_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return leaks.select("doc_id", "leak.item_id", "leak.distance", "leak.start", "leak.end")
