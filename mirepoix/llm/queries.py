@@ -59,3 +59,26 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     leaks = with_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
     return leaks.select("doc_id", "leak.item_id", "leak.distance", "leak.start", "leak.end")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirepoix.llm.common import crc_mod
+    from mirepoix.llm.language import fit, with_language
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = fit(docs.filter(~held_out & F.col("lang").isNotNull()), "doc_id", "text", "lang")
+    predicted = with_language(docs.select("doc_id", "text", held_out.alias("held_out")), model)
+    return predicted.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirepoix.llm.common import crc_mod
+    from mirepoix.llm.toxicity import toxicity
+
+    held_out = crc_mod("doc_id", 3) == 1
+    labels = table(spark, sf_dir, "labels").filter(~held_out)
+    scored = toxicity(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_neighbours", "nearest")
