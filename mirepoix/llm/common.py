@@ -189,21 +189,24 @@ def _follow(labels: DataFrame, hooks: DataFrame) -> DataFrame:
 
 
 def _to_roots(hooks: DataFrame) -> DataFrame:
-    inner = F.col("root")
     while True:
         above = hooks.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        moved = hooks.join(above, "root", "left").select("node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved"))
+        moved = hooks.join(above, "root", "left").select(
+            "node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")
+        )
         moved = stage(moved, "hooks")
         if moved.filter("moved").isEmpty():
-            return moved.select("node", inner.alias("root"))
+            return moved.select("node", "root")
         hooks = moved.select("node", "root")
 
 
 # --- copies --------------------------------------------------------------------------------------
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, total_share: int = 2000) -> DataFrame:
-    """Left join of ``left`` with ``right``, which has one row a key, where keys of ``left`` may be hot.
+def spread_join(
+    left: DataFrame, right: DataFrame, on: list[str], spread: str, how: str = "left", total_share: int = 2000
+) -> DataFrame:
+    """Left or inner join of ``left`` with ``right``, which has one row a key, where keys of ``left`` may be hot.
 
     A key is hot if it holds more than 1 / ``total_share`` of the rows (and 500 at least), so there are
     fewer than ``total_share`` of them: their rows of ``right`` are broadcast. The rows of hot keys take a
@@ -218,6 +221,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, t
     first = first.withColumn("__salt", F.when(F.col("__hot"), F.xxhash64(spread)).otherwise(F.lit(0).cast("bigint")))
     # a hot row finds nothing there: only salt 0 does, and a hash that is 0 finds the same row again
     rest = right.withColumn("__salt", F.lit(0).cast("bigint"))
-    return first.join(rest, [*on, "__salt"], "left").select(
-        *left.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in extra]
-    )
+    rest = rest.withColumn("__found", F.lit(True))
+    joined = first.join(rest, [*on, "__salt"], "left")
+    if how == "inner":
+        joined = joined.filter("__hot or __found")
+    return joined.select(*left.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in extra])

@@ -14,7 +14,7 @@ instead of one a pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,17 +63,38 @@ def near_duplicates(
         map_texts(source, "text", ["id"], _described(shingle_words), "n bigint, fp binary, keys array<bigint>"),
         "shingled",
     )
-    classes = described.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
-    classes = stage(classes, "classes")
-    reps = described.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    classes = stage(described.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    reps = described.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "keys")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        texts = source.join(wanted, "id", "left_semi")
+        return map_texts(texts, "text", ["id"], _sets(shingle_words), "items array<bigint>")
+
+    groups = linked_groups(reps, sets_of, percent)
+    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    named = stage(named.select("fp", F.coalesce("component", "rep").alias("component")), "named")
+    # only classes that are more than one document, or linked, differ from the id itself
+    out = spread_join(described.select("id", "n", "fp"), named, ["fp"], "id")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        component.alias("component_id"),
+        (F.col("id") == component).alias("kept"),
+    )
+
+
+def linked_groups(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``(node, component)`` of the linked ones among ``reps``, rows ``(id, n, keys)`` with distinct sets.
+
+    ``sets_of`` gives ``(id, items)`` for a table of ids: those that share a bucket with another.
+    """
     members = stage(reps.select("id", "n", F.explode("keys").alias("bucket")), "buckets")
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("center"))
     sizes = stage(sizes.filter("size > 1"), "bucket_sizes")
     members = stage(members.join(sizes, "bucket"), "members")
 
-    wanted = members.select("id").distinct()
-    texts = source.join(wanted, "id", "left_semi")
-    sets = stage(map_texts(texts, "text", ["id"], _sets(shingle_words), "items array<bigint>"), "sets")
+    sets = stage(sets_of(members.select("id").distinct()), "sets")
 
     pairs = members.filter("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b"))
     links = _verified(pairs, sets, percent)
@@ -104,18 +125,7 @@ def near_duplicates(
         more = _verified(pairs.select(F.col("id").alias("a"), "b"), sets, percent)
         links = stage(links.unionByName(more), "links")
         groups = components(links)
-
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    named = stage(named.select("fp", F.coalesce("component", "rep").alias("component")), "named")
-    # only classes that are more than one document, or linked, differ from the id itself
-    out = spread_join(described.select("id", "n", "fp"), named, ["fp"], "id")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        (F.col("id") == component).alias("kept"),
-    )
+    return groups
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -82,3 +82,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(~held_out)
     scored = toxicity(table(spark, sf_dir, "documents"), labels)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_neighbours", "nearest")
+
+
+@query
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirepoix.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
