@@ -64,7 +64,8 @@ def near_duplicates(
         "shingled",
     )
     classes = stage(described.filter("n > 0").groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    reps = described.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "n", "keys")
+    reps = described.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = stage(reps.select("id", "n", "keys"), "reps")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         texts = source.join(wanted, "id", "left_semi")
@@ -89,7 +90,7 @@ def linked_groups(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], pe
 
     ``sets_of`` gives ``(id, items)`` for a table of ids: those that share a bucket with another.
     """
-    members = stage(reps.select("id", "n", F.explode("keys").alias("bucket")), "buckets")
+    members = reps.select("id", "n", F.explode("keys").alias("bucket"))
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("center"))
     sizes = stage(sizes.filter("size > 1"), "bucket_sizes")
     members = stage(members.join(sizes, "bucket"), "members")

@@ -89,3 +89,17 @@ def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mirepoix.llm.substring_dedup import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirepoix.llm.pii import KINDS, joined, personal_data
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+    base = F.concat(*[joined(k, F.col(k)) for k in KINDS])
+    return found.select(
+        "doc_id",
+        *[F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS],
+        F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
+        F.concat_ws(",", F.concat(base, joined(None, F.col("added")))).alias("spans"),
+    )

@@ -2,6 +2,11 @@
 
 Paragraphs are the lines of a text that have enough words. Equal ones are one class from the start; classes
 that share a band are compared on their full shingle sets, as documents are in ``near_dedup``.
+
+A passage that was copied into the middle of a longer paragraph leaves the paragraphs unlike each other. For
+these, stretches of ``STRETCH`` words are taken as paragraphs of their own wherever the hash of the stretch
+is the least in its surroundings. Two documents that share a run of ``STRETCH + WINDOW - 1`` words (50) share
+at least one such stretch, whatever stands around the run; stretches are compared for equality.
 """
 
 from __future__ import annotations
@@ -9,18 +14,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from mirepoix.llm.common import MinMaxHash, fingerprint, shingles, signed, small_batches, spread_join, word_hashes
+from mirepoix.llm.common import MinMaxHash, fingerprint, mix, shingles, signed, small_batches, spread_join, word_hashes
 from mirepoix.llm.near_dedup import linked_groups
 from mirepoix.sources import stage
 
 #: 21 permutations give 42 values in 14 bands of 3: a pair at similarity 0.8 is missed with 4e-5.
 PERMUTATIONS, BANDS = 21, 14
+#: Words of a stretch, and stretches among which the one of least hash is taken.
+STRETCH, WINDOW = 20, 31
 LEAST_WORDS = 40
 PARAGRAPH = re.compile(r"[^\n]+")
 
@@ -54,6 +62,70 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, shingle_words: int,
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word of :func:`word_hashes`, in code points."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+    return points[np.flatnonzero(edge == 1)], points[np.flatnonzero(edge == -1)]
+
+
+def stretch_hashes(words: np.ndarray) -> np.ndarray:
+    """Hash of the ``STRETCH`` words from each word on, from hashes of stretches of half the length."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    by_length = {1: words}
+    n = 1
+    while 2 * n <= STRETCH:
+        half = by_length[n]
+        by_length[2 * n] = mix(half[:-n] * step + half[n:])
+        n *= 2
+    out, done = by_length[n], n
+    while done < STRETCH:
+        n //= 2
+        if STRETCH - done >= n:
+            rest = by_length[n][done:]
+            out = mix(out[: len(rest)] * step + rest)
+            done += n
+    return out
+
+
+def stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The stretches of each text that are least in a window: ``(id, start, end, h1, h2)``."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = StructType.fromDDL(f"id {kind}, start bigint, end bigint, h1 bigint, h2 int")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            ids, parts = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = word_hashes(text)
+                if len(words) < STRETCH + WINDOW - 1:
+                    continue
+                hashes = stretch_hashes(words)
+                least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(axis=1)
+                at = np.unique(least + np.arange(len(least)))
+                starts, ends = word_places(text)
+                second = (mix(hashes[at] ^ words[at]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                parts.append((starts[at], ends[at + STRETCH - 1], signed(hashes[at]), second))
+                ids.extend([doc] * len(at))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, type=f.type) for c, f in zip([ids, *columns], arrow, strict=True)], schema=arrow
+            )
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def repeated_stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, start, end, first)`` of the stretches that another document has too."""
+    found = stage(stretches(docs, id_col, text_col), "stretches")
+    shared = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"))
+    shared = stage(shared.filter("first.id <> last").drop("last"), "shared")
+    return spread_join(found, shared, ["h1", "h2"], "id", how="inner").select("id", "start", "end", "first")
+
+
 def repeated_passages(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -63,7 +135,7 @@ def repeated_passages(
     least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """Every paragraph of at least ``least_words`` words that is repeated in another document, one row each:
-    ``(id_col, start, end, n_words, first_id, first_start, kept)``.
+    ``(id_col, start, end, n_words, first_id, first_start, kept, kind)``; and the stretches of longer runs.
 
     Paragraphs are linked if 100 * intersection >= ``percent`` * union of their word shingles. A group is named by
     its first paragraph (smallest document, then place), which is ``kept``; the others are to be removed.
@@ -75,25 +147,29 @@ def repeated_passages(
     classes = described.groupBy("fp").agg(
         F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(place).alias("first"), F.max("id").alias("last")
     )
-    classes = stage(classes, "classes")
+    # numbers are made once, as the table is written
+    classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         # the first paragraph of each wanted class, from its document
-        homes = classes.join(wanted.withColumnRenamed("id", "fp"), "fp", "left_semi")
-        homes = stage(homes.select("fp", F.col("first.id").alias(id_col)), "homes")
+        homes = classes.join(wanted.withColumnRenamed("id", "class"), "class", "left_semi")
+        homes = stage(homes.select("class", "fp", F.col("first.id").alias(id_col)), "homes")
         texts = docs.select(id_col, text_col).join(homes.select(id_col).distinct(), id_col, "left_semi")
         found = paragraphs(texts, id_col, text_col, shingle_words, least_words, True)
         found = found.select(F.col("id").alias(id_col), "fp", "items").dropDuplicates([id_col, "fp"])
-        return homes.join(found, [id_col, "fp"]).select(F.col("fp").alias("id"), "items")
+        return homes.join(found, [id_col, "fp"]).select(F.col("class").alias("id"), "items")
 
-    groups = linked_groups(classes.select(F.col("fp").alias("id"), "n", "keys"), sets_of, percent)
-    named = classes.select("fp", "first", "last").join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    named = stage(named.withColumn("component", F.coalesce("component", "fp")), "named")
+    groups = linked_groups(classes.select(F.col("class").alias("id"), "n", "keys"), sets_of, percent)
+    named = classes.select("class", "fp", "first", "last").join(groups.withColumnRenamed("node", "class"), "class", "left")
+    named = stage(named.withColumn("component", F.coalesce("component", "class")), "named")
     whole = named.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     whole = stage(whole.filter("first.id <> last"), "repeated")
     named = stage(named.select("fp", "component").join(whole, "component").select("fp", "first"), "named")
     out = spread_join(described.select("id", "start", "end", "words", "fp"), named, ["fp"], "id", how="inner")
-    return out.select(
+    out = out.select("id", "start", "end", "words", "first", F.lit("paragraph").alias("kind"))
+    runs = repeated_stretches(docs, id_col, text_col)
+    runs = runs.select("id", "start", "end", F.lit(STRETCH).cast("bigint").alias("words"), "first", F.lit("stretch").alias("kind"))
+    return out.unionByName(runs).select(
         F.col("id").alias(id_col),
         "start",
         "end",
@@ -101,4 +177,5 @@ def repeated_passages(
         F.col("first.id").alias("first_id"),
         F.col("first.start").alias("first_start"),
         ((F.col("id") == F.col("first.id")) & (F.col("start") == F.col("first.start"))).alias("kept"),
+        "kind",
     )
