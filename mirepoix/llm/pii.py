@@ -85,6 +85,14 @@ def _passes(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def _checked(kind: str, spans: Column) -> Column:
+    return F.filter(spans, lambda s: _passes(kind, s["hit"]))
+
+
+def _as_spans(kind: str, spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+
 def base_spans(docs: DataFrame, text: Column) -> DataFrame:
     """Adds an array column of ``(start, end, hit)`` for each of ``KINDS``."""
     possible = {
@@ -95,8 +103,7 @@ def base_spans(docs: DataFrame, text: Column) -> DataFrame:
     }
     patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
     for kind in KINDS:
-        spans = F.filter(_found(text, patterns[kind], possible[kind]), lambda s, k=kind: _passes(k, s["hit"]))
-        docs = docs.withColumn(f"__{kind}", spans)
+        docs = docs.withColumn(f"__{kind}", _checked(kind, _found(text, patterns[kind], possible[kind])))
     return docs
 
 
@@ -143,6 +150,21 @@ def _cell(features: dict[str, Column]) -> Column:
     return cell.cast("int")
 
 
+def _described(text: Column, n: int, kind: str) -> Column:
+    def candidate(s: Column) -> Column:
+        overlap = F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        cell = _cell(_features(text, n, s)).alias("cell")
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), cell, overlap.alias("label"))
+
+    return F.transform(f"__loose_{kind}", candidate)
+
+
+def _chosen(cells: list[int]) -> Column:
+    if not cells:
+        return F.filter("__candidates", lambda c: F.lit(False))
+    return F.filter("__candidates", lambda c: ~c["label"] & c["cell"].isin(cells))
+
+
 def candidates(docs: DataFrame, text: Column) -> DataFrame:
     """Adds ``__candidates``: array of ``(kind, start, end, cell, label)`` of the loose generators; the label
     says whether a base span overlaps."""
@@ -157,14 +179,7 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
     for n, (kind, pattern) in enumerate(LOOSE.items()):
         docs = docs.withColumn(f"__loose_{kind}", _found(text, pattern, possible[kind]))
 
-        def described(s: Column, n: int = n, kind: str = kind) -> Column:
-            overlap = F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-            return F.struct(
-                F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                _cell(_features(text, n, s)).alias("cell"), overlap.alias("label"),
-            )
-
-        made.append(F.transform(f"__loose_{kind}", described))
+        made.append(_described(text, n, kind))
     docs = docs.withColumn("__candidates", F.concat(*made))
     return docs.drop("__base", *[f"__loose_{k}" for k in LOOSE])
 
@@ -220,8 +235,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     plain = [F.transform(f"__{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
     found = stage(found.select(F.col(id_col), *plain, "__candidates"), "candidates")
     cells = chosen_cells(found, precision)
-    wanted = F.filter("__candidates", lambda c: ~c["label"] & c["cell"].isin(cells)) if cells else F.filter("__candidates", lambda c: F.lit(False))
-    added = F.transform(wanted, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    added = F.transform(_chosen(cells), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
     return found.select(id_col, *KINDS, added.alias("added"))
 
 
@@ -235,9 +249,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = candidates(base_spans(docs, text), text)
     found = stage(found, "to_redact")
     cells = chosen_cells(found)
-    spans = [F.transform(f"__{k}", lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS]
-    extra = F.filter("__candidates", lambda c: ~c["label"] & c["cell"].isin(cells)) if cells else F.filter("__candidates", lambda c: F.lit(False))
-    spans.append(F.transform(extra, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    spans = [_as_spans(k, F.col(f"__{k}")) for k in KINDS]
+    spans.append(F.transform(_chosen(cells), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
     ordered = F.array_sort(F.concat(*spans))
 
     def step(acc: Column, s: Column) -> Column:
