@@ -103,3 +103,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
         F.concat_ws(",", F.concat(base, joined(None, F.col("added")))).alias("spans"),
     )
+
+
+@query
+def op10_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirepoix.llm.html_text import with_main_text
+
+    pages = with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
