@@ -24,7 +24,7 @@ from mirepoix.llm.common import small_batches
 from mirepoix.sources import stage
 
 #: About so many pieces are ranked together in a task.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2_000
 
 
 @dataclass(frozen=True)
