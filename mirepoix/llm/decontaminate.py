@@ -65,7 +65,8 @@ def myers(pattern: dict[str, int], length: int, text: str, budget: int) -> tuple
     full = (1 << length) - 1
     last = 1 << (length - 1)
     up, down, score = full, 0, length
-    best, end = budget + 1, 0
+    # the empty stretch is as far away as the pattern is long
+    best, end = min(length, budget + 1), 0
     for i, c in enumerate(text):
         eq = pattern.get(c, 0)
         vertical = eq | down
