@@ -1,10 +1,9 @@
 """The ingredient graph: which ingredients meet in a recipe, how often, and is that more than chance.
 
 Pairs are generated inside recipes, so the size of a recipe matters, not the number of its rows:
-repeats are removed first and :func:`top_n_ingredients` then limits a recipe to N rows. Pairs are
-never written out or shuffled as such; the map task that produces them adds them up, and only edge
-counts move. Without a top-N bound use ``block_rows``, which cuts large recipes into blocks that
-different tasks pair up.
+repeats are removed first. Pairs are never written out or shuffled as such; the map task that produces
+them adds them up, and only edge counts move. Recipes of more than ``block_rows`` ingredients are cut
+into blocks that different tasks pair up.
 """
 
 from __future__ import annotations
@@ -12,11 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
-
-def _maybe_broadcast(df: DataFrame, rows: int | None) -> DataFrame:
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
+#: Ingredients of a recipe that are paired in one task; larger recipes are cut into blocks.
+BLOCK_ROWS = 1000
 
 
 def top_n_ingredients(
@@ -31,18 +27,11 @@ def top_n_ingredients(
         .limit(n)
         .select(ingredient)
     )
-    return rows.join(_maybe_broadcast(top, n), ingredient, "left_semi").select(recipe, ingredient)
-
-
-def _pairs_in_recipe(rows: DataFrame, recipe: str, ingredient: str) -> DataFrame:
-    left = rows.select(recipe, F.col(ingredient).alias("ORIGIN"))
-    right = rows.select(recipe, F.col(ingredient).alias("DESTINATION"))
-    # the output is far larger than either side: shuffle rather than stream it from a few tasks
-    return left.join(right.hint("merge"), recipe).filter("ORIGIN < DESTINATION").select("ORIGIN", "DESTINATION")
+    return rows.join(top, ingredient, "left_semi").select(recipe, ingredient)
 
 
 def _pairs_across_blocks(rows: DataFrame, recipe: str, ingredient: str, block_rows: int) -> DataFrame:
-    """The same pairs, with each recipe cut into blocks and every two blocks joined on their own."""
+    """Pairs of each recipe, which is cut into blocks; every two blocks are joined on their own."""
     sizes = rows.groupBy(recipe).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("__blocks"))
     block = F.pmod(F.xxhash64(ingredient), F.col("__blocks")).cast("int")
     placed = rows.join(sizes, recipe).withColumn("__block", block)
@@ -68,14 +57,11 @@ def cooccurrence_counts(
     df: DataFrame,
     recipe: str = "ID_RECIPE",
     ingredient: str = "ID_INGREDIENT",
-    block_rows: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Undirected edges ORIGIN < DESTINATION with N_RECIPES, the recipes that hold both."""
     rows = df.select(recipe, ingredient).distinct()
-    if block_rows is None:
-        pairs = _pairs_in_recipe(rows, recipe, ingredient)
-    else:
-        pairs = _pairs_across_blocks(rows, recipe, ingredient, block_rows)
+    pairs = _pairs_across_blocks(rows, recipe, ingredient, block_rows)
     return pairs.groupBy("ORIGIN", "DESTINATION").agg(F.count(F.lit(1)).alias("N_RECIPES"))
 
 
@@ -88,7 +74,7 @@ def directed_edges(counts: DataFrame) -> DataFrame:
     )
 
 
-def ingredient_graph(df: DataFrame, block_rows: int | None = None, **names: str) -> DataFrame:
+def ingredient_graph(df: DataFrame, block_rows: int = BLOCK_ROWS, **names: str) -> DataFrame:
     """Distinct undirected edges, ORIGIN < DESTINATION."""
     return cooccurrence_counts(df, block_rows=block_rows, **names).select("ORIGIN", "DESTINATION")
 
@@ -101,7 +87,7 @@ def pair_probability(
     df: DataFrame,
     recipe: str = "ID_RECIPE",
     ingredient: str = "ID_INGREDIENT",
-    block_rows: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Share of the recipes that hold both ends of an edge: P(ORIGIN,DESTINATION)."""
     counts = cooccurrence_counts(df, recipe, ingredient, block_rows)
@@ -113,14 +99,9 @@ def ingredient_pmi(
     df: DataFrame,
     recipe: str = "ID_RECIPE",
     ingredient: str = "ID_INGREDIENT",
-    block_rows: int | None = None,
-    max_ingredients: int | None = None,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Edges with P, 1/P and pointwise mutual information, log2(P(o,d) / (P(o) P(d))).
-
-    ``max_ingredients`` states how many ingredients can occur, as after a top-N filter; the table of
-    single probabilities is broadcast only under that bound.
-    """
+    """Edges with P, 1/P and pointwise mutual information, log2(P(o,d) / (P(o) P(d)))."""
     n_recipes = _n_recipes(df, recipe)
     single = (
         df.select(recipe, ingredient)
@@ -130,9 +111,7 @@ def ingredient_pmi(
     )
 
     def end(name: str, p: str) -> DataFrame:
-        return _maybe_broadcast(
-            single.select(F.col(ingredient).alias(name), F.col("__p").alias(p)), max_ingredients
-        )
+        return single.select(F.col(ingredient).alias(name), F.col("__p").alias(p))
 
     joint = F.col("P(ORIGIN,DESTINATION)")
     return (

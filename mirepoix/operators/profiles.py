@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 from mirepoix.operators.activity import group_count
 from mirepoix.operators.skew import salted_join
 
-# The nutrient columns of the nutrition table.
-NUTRIENTS = (
-    "CALCIUM", "CALORIES", "CALORIESFROMFAT", "CARBOHYDRATES", "CHOLESTEROL", "FAT", "FIBER", "FOLATE",
-    "IRON", "MAGNESIUM", "NIACIN", "POTASSIUM", "PROTEIN", "SATURATEDFAT", "SODIUM", "SUGARS", "THIAMIN",
-    "VITAMINA", "VITAMINB6", "VITAMINC",
-)
-
-
 def nutrient_columns(df: DataFrame, keys: Sequence[str] = ("RECIPE_ID", "USER_ID")) -> list[str]:
     """Every column that is not a key."""
     return [c for c in df.columns if c not in set(keys)]

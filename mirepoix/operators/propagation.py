@@ -19,16 +19,16 @@ def propagated_ratings(
 ) -> DataFrame:
     """Learn: mean rating a user gave to the recipes with an ingredient.
 
-    Ratings are whole numbers, so the mean is the same in whatever order they are added.
+    Ratings are averaged as decimals of six places, so the mean is the same in whatever order they are added.
     """
     rated = salted_join(
-        training.select(user, recipe, F.col(rating).cast("int").alias(rating)),
+        training.select(user, recipe, F.col(rating).cast("decimal(18,6)").alias(rating)),
         ingredients.select(recipe, ingredient),
         [recipe],
         spread=[user],
         fan_out=True,
     )
-    return rated.groupBy(user, ingredient).agg(F.avg(rating).alias("INGR_RATING"))
+    return rated.groupBy(user, ingredient).agg(F.avg(rating).cast("double").alias("INGR_RATING"))
 
 
 def propagation_predict(

@@ -154,6 +154,11 @@ def exact_sample(
     return df.orderBy(order, *keys).limit(n)
 
 
+def share(df: DataFrame, fraction: float, keys: list[str], seed: int = 0, portable: bool = False) -> DataFrame:
+    """About ``fraction`` of the rows, chosen by key hash in the scan: no sort, whatever the size."""
+    return df.filter(hash_fraction(*keys, seed=seed, portable=portable) < fraction)
+
+
 def fraction_split(df: DataFrame, keys: list[str], training: float = 0.7, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Random two-way split by key hash: (training, rest)."""
     drawn = hash_fraction(*keys, seed=seed) < training

@@ -12,26 +12,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_KEYS = 1000
-MAX_SHARDS = 2000
+#: A shard holds about so many rows, or a ``MOST_KEYS``-th of all rows if that is more.
 SHARD_ROWS = 1_000_000
-NULL_SHARDS = 64
+MOST_KEYS = 50_000
 
 _ROWS, _SHARDS, _SALT = "__rows", "__shards", "__salt"
 
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], shard_rows: int | None = None) -> DataFrame:
-    """The largest keys with more than ``shard_rows`` rows (default ``SHARD_ROWS``), and the number of
-    shards to cut each into.
+    """The keys with more than ``shard_rows`` rows (default ``SHARD_ROWS``), and the number of shards to cut
+    each into.
 
-    At most ``MAX_KEYS`` rows come out whatever the size of ``df``, which is what makes the result safe
-    to broadcast; a key that is not among them holds less than one ``MAX_KEYS``-th of the rows.
+    No key with more than a ``MOST_KEYS``-th of all rows is left out, and no more than ``MOST_KEYS`` keys can
+    have as many: the result is safe to broadcast whatever the size of ``df``.
     """
-    shard_rows = shard_rows or SHARD_ROWS
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS)).filter(F.col(_ROWS) > shard_rows)
-    largest = sized.orderBy(F.desc(_ROWS), *keys).limit(MAX_KEYS)
-    shards = F.least(F.ceil(F.col(_ROWS) / shard_rows), F.lit(MAX_SHARDS))
-    return largest.select(*keys, shards.cast("int").alias(_SHARDS))
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS))
+    total = sized.agg(F.sum(_ROWS).alias(_ROWS)).scalar()
+    least = F.greatest(F.lit(float(shard_rows or SHARD_ROWS)), total / MOST_KEYS)
+    shards = F.ceil(F.col(_ROWS) / least).cast("int")
+    return sized.filter(F.col(_ROWS) > least).select(*keys, shards.alias(_SHARDS))
 
 
 def salted_join(
@@ -67,9 +66,9 @@ def salted_join(
         mixed = F.xxhash64(mixed, F.spark_partition_id())
     salt: Column = F.pmod(mixed, shards.cast("bigint"))
     if how in ("left", "left_anti"):
-        # a null key matches nothing, so its rows may go anywhere
+        # a null key matches nothing, so each of its rows may go anywhere
         missing = F.greatest(*[F.col(c).isNull() for c in on]) if len(on) > 1 else F.col(on[0]).isNull()
-        salt = F.when(missing, F.pmod(mixed, F.lit(NULL_SHARDS).cast("bigint"))).otherwise(salt)
+        salt = F.when(missing, F.pmod(mixed, F.lit(2**31 - 1).cast("bigint"))).otherwise(salt)
     spread_left = left.join(hot, heavy_on, "left").select(*left.columns, salt.cast("int").alias(_SALT))
 
     if how in ("left_semi", "left_anti"):

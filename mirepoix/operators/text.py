@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mirepoix.operators.skew import salted_join
+
 # Words that measure, characters that separate, what counts as a word.
 UNIT_WORDS = (
     "tablespoon", "tablespoons", "teaspoon", "teaspoons", "cup", "cups", "ounce", "ounces", "inch",
@@ -14,7 +16,6 @@ UNIT_WORDS = (
 SEPARATORS = r"[,.:;()!/%0-9]"
 WORD = r"^[a-zA-Z-]+$"
 MIN_LETTERS = 3
-LINES_PER_INGREDIENT = 15
 
 
 def main_words(text: Column) -> Column:
@@ -39,9 +40,9 @@ def ingredient_tokens(
 def lemmatise(tokens: DataFrame, lemmas: DataFrame, word: str = "word", lemma: str = "lemma") -> DataFrame:
     """Replace words by their lemma from a (word, lemma) table; unknown words stay as they are.
 
-    The dictionary must hold a word once. Spark broadcasts it if its measured size allows.
+    Of a word listed repeatedly the first lemma counts. Spark broadcasts the table if its size allows.
     """
-    looked_up = tokens.join(lemmas.select(word, lemma), word, "left")
+    looked_up = tokens.join(lemmas.groupBy(word).agg(F.min(lemma).alias(lemma)), word, "left")
     named = F.coalesce(F.col(lemma), F.col(word)).alias(word)
     return looked_up.select(*[named if c == word else F.col(c) for c in tokens.columns])
 
@@ -52,40 +53,35 @@ def ingredient_names(
     text: str = "TEXT_VALUE",
     line: str = "LINE_NO",
     ingredient: str = "ID_INGREDIENT",
-    max_lines: int = LINES_PER_INGREDIENT,
+    max_lines: int | None = None,
 ) -> DataFrame:
-    """Name each ingredient by the words its first ``max_lines`` lines agree on.
+    """Name each ingredient by the words its lines agree on.
 
     Words of the first line always stay; others need half of the lines, rounded down. They are listed by
-    their place in the first line, new words with the first, ties by word. The line limit is pushed
-    below the shuffle, so no task sees more than ``max_lines`` lines of an ingredient per map task.
+    their place in the first line, new words with the first, ties by word. Repeats of a line count once.
+    ``max_lines`` looks at the first lines only; that limit is applied below the shuffle. By default all
+    lines count and no task sees an ingredient as a whole: its lines are counted, and its words are
+    filtered before they are gathered.
     """
-    in_order = W.partitionBy(ingredient).orderBy(line, text)
-    lines = (
-        df.select(ingredient, line, text, F.row_number().over(in_order).alias("__rn"))
-        .filter(F.col("__rn") <= max_lines)
-        .select(ingredient, "__rn", F.posexplode_outer(main_words(F.col(text))).alias("position", "word"))
+    lines = df.select(ingredient, line, text).distinct()
+    if max_lines is not None:
+        in_order = W.partitionBy(ingredient).orderBy(line, text)
+        lines = lines.withColumn("__rn", F.row_number().over(in_order)).filter(F.col("__rn") <= max_lines).drop("__rn")
+    place = F.struct(F.col(line).alias("line"), F.col(text).alias("text"))
+    heads = lines.groupBy(ingredient).agg(F.min(place).alias("__head"), F.count(F.lit(1)).alias("n_lines"))
+    words = salted_join(lines, heads, [ingredient]).select(
+        ingredient, line, text, (place == F.col("__head")).alias("__opening"), F.posexplode(main_words(F.col(text))).alias("position", "word")
     )
     if lemmas is not None:
-        lines = lemmatise(lines, lemmas)
-    per_line = lines.groupBy(ingredient, "word", "__rn").agg(F.min("position").alias("__pos"))
+        words = lemmatise(words, lemmas)
+    per_line = words.groupBy(ingredient, "word", line, text, "__opening").agg(F.min("position").alias("__pos"))
     per_word = per_line.groupBy(ingredient, "word").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(F.col("__rn") == 1, F.col("__pos"))).alias("first"),
-        F.max("__rn").alias("__last"),
-    )
-    entry = F.struct(
-        F.coalesce(F.col("first"), F.lit(0)).alias("place"),
-        F.col("word"),
-        F.col("n"),
-        F.col("first").isNotNull().alias("opening"),
-    )
-    grouped = per_word.groupBy(ingredient).agg(
-        F.max("__last").alias("n_lines"),
-        F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), entry))).alias("entries"),
-    )
-    enough = F.floor(F.col("n_lines") / 2)
-    kept = F.filter("entries", lambda e: e["opening"] | (e["n"] >= enough))
-    return grouped.select(
-        ingredient, F.concat_ws(" ", F.transform(kept, lambda e: e["word"])).alias("NAME")
+        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("__opening"), F.col("__pos"))).alias("first")
     )
+    kept = salted_join(per_word, heads.drop("__head"), [ingredient])
+    kept = kept.filter(F.col("first").isNotNull() | (F.col("n") >= F.floor(F.col("n_lines") / 2)))
+    entry = F.struct(F.coalesce(F.col("first"), F.lit(0)).alias("place"), F.col("word"))
+    grouped = kept.groupBy(ingredient).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    grouped = heads.select(ingredient).join(grouped, ingredient, "left")
+    kept = F.coalesce(F.transform("entries", lambda e: e["word"]), F.array().cast("array<string>"))
+    return grouped.select(ingredient, F.concat_ws(" ", kept).alias("NAME"))

@@ -31,7 +31,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-TOP_N = 1000
 KS = (5, 10, 30)
 DIFFICULTY_PAIRS = [("N_STEPS", "N_INGREDIENTS"), ("N_STEPS", "COOK_TIME"), ("COOK_TIME", "N_INGREDIENTS")]
 
@@ -75,9 +74,9 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.user_stats(bucketed(spark, sf_dir))
 
 
-def top_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the most frequent ingredients, written once as the graph steps read them repeatedly."""
-    return sources.stage(cooccurrence.top_n_ingredients(fx.baskets(spark, sf_dir), TOP_N), "top_rows")
+def staged_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recipes and their ingredients, written once as the graph steps read them repeatedly."""
+    return sources.stage(fx.baskets(spark, sf_dir), "baskets")
 
 
 # --- sources and sinks ---------------------------------------------------------------------------
@@ -381,12 +380,12 @@ def top_n_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cooccurrence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccurrence.directed_edges(cooccurrence.cooccurrence_counts(top_baskets(spark, sf_dir)))
+    return cooccurrence.directed_edges(cooccurrence.cooccurrence_counts(staged_baskets(spark, sf_dir)))
 
 
 @query
 def ingredient_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cooccurrence.ingredient_graph(top_baskets(spark, sf_dir))
+    return cooccurrence.ingredient_graph(staged_baskets(spark, sf_dir))
 
 
 @query
@@ -396,12 +395,12 @@ def ingredient_graph_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pair_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cooccurrence.pair_probability(top_baskets(spark, sf_dir)), 9)
+    return rounded(cooccurrence.pair_probability(staged_baskets(spark, sf_dir)), 9)
 
 
 @query
 def ingredient_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(cooccurrence.ingredient_pmi(top_baskets(spark, sf_dir), max_ingredients=TOP_N))
+    return rounded(cooccurrence.ingredient_pmi(staged_baskets(spark, sf_dir)))
 
 
 @query
@@ -443,13 +442,13 @@ def quota_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def percent_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fx.reviews(spark, sf_dir).select("USER_ID", "RECIPE_ID")
-    return sampling.percent_split(pairs, 10, max_users=200, portable=True)
+    return sampling.percent_split(pairs, 10, portable=True)
 
 
 @query
 def q_test_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = propagation(spark, sf_dir).test
-    return sampling.exact_sample(test, 1000, ["USER_ID", "RECIPE_ID"], seed=1, portable=True)
+    return sampling.share(test, 0.25, ["USER_ID", "RECIPE_ID"], seed=1, portable=True)
 
 
 @query

@@ -144,7 +144,7 @@ def graph_job(spark: SparkSession, folder: str, name: str, output: str, top_n: i
     rows = stage(top, "top_rows")
     write_delimited(rows, output, "top_ingredients", TAB)
     write_delimited(cooccurrence.ingredient_graph(rows), output, "graph", TAB, header=False)
-    pmi = cooccurrence.ingredient_pmi(rows, max_ingredients=top_n)
+    pmi = cooccurrence.ingredient_pmi(rows)
     write_delimited(pmi, output, "pmi_graph", TAB, header=False)
 
 

@@ -180,17 +180,14 @@ CTES: dict[str, str] = {
         f"SELECT USER_ID, RECIPE_ID, RATING, '{raw}' AS score, {raw} AS value FROM similarities" for raw in SCORES
     ),
     # graph and text
-    "top_baskets": """
-        SELECT * FROM baskets WHERE ID_INGREDIENT IN (
-          SELECT ID_INGREDIENT FROM baskets GROUP BY ID_INGREDIENT ORDER BY count(*) DESC, ID_INGREDIENT LIMIT 1000)""",
     "edges": """
         SELECT a.ID_INGREDIENT AS ORIGIN, b.ID_INGREDIENT AS DESTINATION, count(*) AS N_RECIPES
-        FROM top_baskets a JOIN top_baskets b
+        FROM baskets a JOIN baskets b
           ON a.ID_RECIPE = b.ID_RECIPE AND a.ID_INGREDIENT < b.ID_INGREDIENT
         GROUP BY a.ID_INGREDIENT, b.ID_INGREDIENT""",
-    "n_baskets": "SELECT count(DISTINCT ID_RECIPE) AS n FROM top_baskets",
+    "n_baskets": "SELECT count(DISTINCT ID_RECIPE) AS n FROM baskets",
     "single": """
-        SELECT ID_INGREDIENT, count(*) / (SELECT n FROM n_baskets) AS p FROM top_baskets GROUP BY ID_INGREDIENT""",
+        SELECT ID_INGREDIENT, count(*) / (SELECT n FROM n_baskets) AS p FROM baskets GROUP BY ID_INGREDIENT""",
     "words": """
         SELECT ID_INGREDIENT, LINE_NO, list_filter(
                  string_split_regex(regexp_replace(TEXT_VALUE, '[,.:;()!/%0-9]', ' ', 'g'), '\\s+'),
@@ -203,7 +200,7 @@ CTES: dict[str, str] = {
         FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM words)""",
     "numbered": """
         SELECT ID_INGREDIENT, LINE_NO, row_number() OVER (PARTITION BY ID_INGREDIENT ORDER BY LINE_NO) AS rn
-        FROM ingredient_text QUALIFY rn <= 15""",
+        FROM ingredient_text""",
     "name_words": """
         SELECT ID_INGREDIENT, word, count(DISTINCT rn) AS n, min(position) FILTER (WHERE rn = 1) AS first
         FROM tokens JOIN numbered USING (ID_INGREDIENT, LINE_NO) GROUP BY ID_INGREDIENT, word""",
@@ -461,11 +458,10 @@ BODIES: dict[str, str] = {
         SELECT USER_ID, RECIPE_ID,
                CASE WHEN {_fraction("USER_ID", "RECIPE_ID")} < 0.7 THEN 'train' ELSE 'test' END AS SPLIT
         FROM reviews
-        WHERE USER_ID IN (SELECT USER_ID FROM reviews GROUP BY USER_ID HAVING count(*) >= 10
-                          ORDER BY USER_ID LIMIT 200)""",
+        WHERE USER_ID IN (SELECT USER_ID FROM reviews GROUP BY USER_ID HAVING count(*) >= 10)""",
     "test_subset": f"""
-        SELECT USER_ID, RECIPE_ID, RATING FROM rated_split WHERE SPLIT = 'test'
-        ORDER BY {_fraction("USER_ID", "RECIPE_ID", seed=1)}, USER_ID, RECIPE_ID LIMIT 1000""",
+        SELECT USER_ID, RECIPE_ID, RATING FROM rated_split
+        WHERE SPLIT = 'test' AND {_fraction("USER_ID", "RECIPE_ID", seed=1)} < 0.25""",
     "training_ingredients": """
         SELECT RECIPE_ID, ID_INGREDIENT FROM valid_ingredients
         WHERE RECIPE_ID IN (SELECT RECIPE_ID FROM training)""",

@@ -11,7 +11,6 @@ from pyspark.sql.types import StructType
 PIPE: Mapping[str, str] = {"sep": "|", "encoding": "UTF-8"}
 TAB: Mapping[str, str] = {"sep": "\t", "encoding": "UTF-8"}
 
-SINGLE_FILE_ROWS = 1_000_000
 
 
 def delimited_path(folder: str, name: str) -> str:
@@ -50,12 +49,9 @@ def write_delimited(
 ) -> str:
     """Write a folder of delimited files (one per task), replacing what was there; returns its path.
 
-    ``single_file`` sends everything through one task. That is for small reports, so the size is
-    checked first and a larger table is refused.
+    ``single_file`` writes through one task: for reports, which have one row a score or threshold.
     """
     if single_file:
-        if df.limit(SINGLE_FILE_ROWS + 1).count() > SINGLE_FILE_ROWS:
-            raise ValueError(f"single_file is for tables of at most {SINGLE_FILE_ROWS} rows")
         df = df.coalesce(1)
     path = delimited_path(folder, name)
     df.write.mode("overwrite").options(**options).option("header", header).csv(path)

@@ -79,30 +79,32 @@ def test_binary_points(spark):
 
 @pytest.fixture(scope="module")
 def ranking(spark):
+    # user 7 has four items with a tie, user 9 three and a null prediction, user 4 a single one
     rows = [
-        (1, 100, 5, 5), (1, 200, 5, 2), (1, 300, 3, 5), (1, 400, 4, 4), (1, 500, 1, 2),
-        (2, 100, 5, 5), (2, 200, 5, 5), (2, 300, 5, 5), (2, 400, 5, 4), (2, 500, 4, 5),
+        (7, 31, 4, 3), (7, 12, 2, 5), (7, 25, 5, 1), (7, 40, 3, 3),
+        (9, 12, 1, 4), (9, 40, 5, None), (9, 31, 3, 2),
+        (4, 25, 2, 2),
     ]
-    return spark.createDataFrame(rows, "ID_USER int, ID_RECIPE int, RATING int, PREDICTION int")
+    return spark.createDataFrame(rows, "u int, i int, label int, p int")
 
 
 def test_precision_at_k(ranking):
-    args = ("ID_USER", "ID_RECIPE", "RATING", ["PREDICTION"])
-    got = table(evaluation.precision_at_k(ranking, *args, [1, 2, 5, 10], 3))["PREDICTION"]
-    assert [got[f"p_at_{k}"] for k in (1, 2, 5, 10)] == [1.0, 1.0, 0.9, 0.45]
-    # user 1 ranks 100, 300, 400, 200, 500; worst first: 200, 500, ...
-    worst = table(evaluation.precision_at_k(ranking, *args, [2], 5, ascending=True))["PREDICTION"]
-    assert worst["p_at_2"] == pytest.approx((1 / 2 + 2 / 2) / 2)
+    got = table(evaluation.precision_at_k(ranking, "u", "i", "label", ["p"], [1, 2], 3))["p"]
+    # by prediction: user 7 has 12, 31, ...; user 9 has 12, 31, ...; user 4 has 25
+    assert got["p_at_1"] == pytest.approx((0 + 0 + 0) / 3)
+    assert got["p_at_2"] == pytest.approx((1 / 2 + 1 / 2 + 0) / 3)
+    # worst first, user 7 begins with 25
+    worst = table(evaluation.precision_at_k(ranking.filter("u = 7"), "u", "i", "label", ["p"], [1], 5, ascending=True))["p"]
+    assert worst["p_at_1"] == 1.0
 
 
 def test_prefix_agreement_and_overlap(ranking):
-    got = {r.ID_USER: r for r in evaluation.prefix_agreement(ranking, "ID_USER", "ID_RECIPE", "RATING", "PREDICTION", [1, 3, 5]).collect()}
-    # labels rank user 1 as 100, 200, 400, 300, 500, predictions as 100, 300, 400, 200, 500
-    assert (got[1].agreement_at_1, got[1].agreement_at_3) == (1.0, pytest.approx(1 / 3))
-    # user 2: 100, 200, 300, 400, 500 against 100, 200, 300, 500, 400
-    assert (got[2].agreement_at_3, got[2].agreement_at_5) == (1.0, pytest.approx(3 / 5))
-    overlap = evaluation.topk_overlap(ranking, "ID_USER", "ID_RECIPE", "RATING", "PREDICTION", [2, 5]).head()
-    assert (overlap.overlap_at_2, overlap.overlap_at_5) == (pytest.approx((1 / 2 + 1) / 2), 1.0)
+    own = ranking.filter("u = 7")
+    got = evaluation.prefix_agreement(own, "u", "i", "label", "p", [1, 2]).head()
+    # labels rank 25, 31, 40, 12 and predictions 12, 31, 40, 25
+    assert (got.agreement_at_1, got.agreement_at_2) == (0.0, pytest.approx(1 / 2))
+    overlap = evaluation.topk_overlap(own, "u", "i", "label", "p", [2, 4]).head()
+    assert (overlap.overlap_at_2, overlap.overlap_at_4) == (pytest.approx(1 / 2), 1.0)
 
 
 def test_overlap_of_disjoint_users_counts_as_zero(spark):

@@ -97,8 +97,11 @@ def test_names(spark):
     }
     data = [(i, n, " ".join(line)) for i, lines in words.items() for n, line in enumerate(lines)]
     df = spark.createDataFrame(data, "ID_INGREDIENT int, LINE_NO int, TEXT_VALUE string").repartition(5)
-    got = {r.ID_INGREDIENT: r.NAME for r in text.ingredient_names(df).collect()}
+    got = {r.ID_INGREDIENT: r.NAME for r in text.ingredient_names(df, max_lines=15).collect()}
     assert got == {i: names_by_hand(lines) for i, lines in words.items()}
+    # without a limit the later lines of ingredient 3 have a say
+    got = {r.ID_INGREDIENT: r.NAME for r in text.ingredient_names(df).collect()}
+    assert got == {i: names_by_hand(lines) for i, lines in words.items()} | {3: "late zebra apple"}
     assert got[1] == "red sliced onion" and got[4] == "egg"
 
 

@@ -62,3 +62,12 @@ def test_copies_of_one_row_are_spread(spark):
 def test_unsupported_join_type(skewed, lookup):
     with pytest.raises(ValueError):
         salted_join(skewed, lookup, ["k"], "full")
+
+
+def test_every_heavy_key_is_split(spark):
+    """More keys than any fixed number, and one far above the others: no shard is left large."""
+    many = spark.range(60_000).select((F.col("id") % 1500).alias("k"))
+    big = spark.range(30_000).select(F.lit(7).cast("bigint").alias("k"))
+    heavy = {r.k: r["__shards"] for r in heavy_keys(many.unionByName(big), ["k"], 10).collect()}
+    assert len(heavy) == 1500
+    assert heavy[7] == 3004 and all(n == 4 for k, n in heavy.items() if k != 7)

@@ -47,11 +47,6 @@ def test_tab_sink_with_and_without_header(spark, tmp_path):
     assert text_of(path) == "ORIGIN\tDESTINATION\n1\t2\n"
 
 
-def test_single_file_refuses_large_tables(spark, tmp_path):
-    with pytest.raises(ValueError):
-        sources.write_delimited(spark.range(1_000_001), str(tmp_path), "big", single_file=True)
-
-
 def test_report_has_fixed_decimals(spark, tmp_path):
     df = spark.createDataFrame([("propR", 0.5, 3, None)], "score string, mse double, tp int, x double")
     assert text_of(sources.write_report(df, str(tmp_path), "r")).splitlines()[1] == 'propR|0.500|3|'
