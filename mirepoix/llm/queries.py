@@ -160,3 +160,52 @@ FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> s.anc
  AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
 QUALIFY rank <= 5
 """
+
+
+@query
+def op11_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mirepoix.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"), group=5, opening=9)
+
+
+#: The checksum goes byte by byte and bit by bit, as SQL has no function for it.
+ORACLES["op11_burst_trie"] = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS seq
+  FROM turns GROUP BY conv_id
+), opened AS (
+  SELECT conv_id, seq, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))) % 9 AS h
+  FROM own
+), rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.seq[1:o.h], []), o.seq[o.h + 1:]) AS seq
+  FROM opened o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5
+), prefixes AS (
+  SELECT conv_id, d, md5(seq[1:d]::VARCHAR) AS node, len(seq) = d AS ends, seq
+  FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+         any_value(CASE WHEN d = 0 THEN 0 ELSE strlen(seq[d].text) END) AS bytes,
+         any_value(CASE WHEN d > 0 THEN md5(seq[1:d - 1]::VARCHAR) END) AS parent
+  FROM prefixes GROUP BY node, d
+), children AS (
+  SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent, depth
+), counted AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM nodes n LEFT JOIN children c USING (node, depth)
+), above AS (
+  SELECT DISTINCT node, d AS depth, a AS above_depth, md5(seq[1:a]::VARCHAR) AS above
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM prefixes)
+), subtrees AS (
+  SELECT a.above AS node, a.above_depth AS depth, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+  FROM above a JOIN counted n USING (node, depth) GROUP BY a.above, a.above_depth
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN subtrees s USING (node, depth) LEFT JOIN counted p ON p.node = n.parent AND p.depth = n.depth - 1
+"""
