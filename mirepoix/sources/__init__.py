@@ -1,6 +1,6 @@
 """Readers, writers and typing of raw tables."""
 
-from mirepoix.sources.columnar import read_columnar, stage, write_columnar
+from mirepoix.sources.columnar import read_columnar, stage, unstage, write_columnar
 from mirepoix.sources.delimited import (
     PIPE,
     TAB,
@@ -27,6 +27,7 @@ __all__ = [
     "shared_folder",
     "stage",
     "transcode",
+    "unstage",
     "write_columnar",
     "write_delimited",
     "write_report",

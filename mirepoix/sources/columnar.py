@@ -29,4 +29,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    staged = spark.read.parquet(path)
+    staged.staged_at = path
+    return staged
+
+
+def unstage(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that :func:`stage` returned and that nothing reads any more; others stay.
+
+    To be called when all that was made from them is written itself: a lost executor then never needs them.
+    """
+    for table in tables:
+        path = getattr(table, "staged_at", None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
