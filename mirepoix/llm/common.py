@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from mirepoix.sources import stage
+from mirepoix.sources import stage, unstage
 
 #: Rows and bytes of text that a Python task holds at a time; a single longer text is a batch of its own.
 BATCH_BYTES = 4_000_000
@@ -167,20 +167,30 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = rest.select(F.explode(F.array("lo", "hi")).alias("node")).distinct()
     while not rest.isEmpty():
         hooks = _to_roots(stage(rest.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")), "hooks"))
-        found = hooks if found is None else stage(_follow(found, hooks).unionByName(hooks), "found")
         lo = hooks.select(F.col("node").alias("lo"), F.col("root").alias("lo_root"))
         hi = hooks.select(F.col("node").alias("hi"), F.col("root").alias("hi_root"))
-        rest = (
+        ends = (
             rest.join(lo, "lo", "left")
             .join(hi, "hi", "left")
             .select(F.coalesce("lo_root", "lo").alias("a"), F.coalesce("hi_root", "hi").alias("b"))
             .filter("a <> b")
         )
-        rest = stage(rest.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+        left = stage(ends.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+        unstage(rest)
+        rest = left
+        if found is None:
+            found = hooks
+        else:
+            followed = stage(_follow(found, hooks).unionByName(hooks.select("node", "root")), "found")
+            unstage(found, hooks)
+            found = followed
     if found is None:
         return nodes.select("node", F.col("node").alias("component"))
     roots = found.select(F.col("root").alias("node")).distinct().select("node", F.col("node").alias("root"))
-    return stage(found.unionByName(roots).select("node", F.col("root").alias("component")), "components")
+    out = found.select("node", "root").unionByName(roots)
+    out = stage(out.select("node", F.col("root").alias("component")), "components")
+    unstage(found, rest)
+    return out
 
 
 def _follow(labels: DataFrame, hooks: DataFrame) -> DataFrame:
@@ -191,13 +201,14 @@ def _follow(labels: DataFrame, hooks: DataFrame) -> DataFrame:
 def _to_roots(hooks: DataFrame) -> DataFrame:
     while True:
         above = hooks.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        moved = hooks.join(above, "root", "left").select(
+        moved = hooks.select("node", "root").join(above, "root", "left").select(
             "node", F.coalesce("up", "root").alias("root"), F.col("up").isNotNull().alias("moved")
         )
         moved = stage(moved, "hooks")
+        unstage(hooks)
         if moved.filter("moved").isEmpty():
-            return moved.select("node", "root")
-        hooks = moved.select("node", "root")
+            return moved
+        hooks = moved
 
 
 # --- copies --------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import islice
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from mirepoix.llm.common import map_texts
 
 #: Pre-tokens a worker remembers before it starts anew, and characters of the longest one remembered.
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 #: Pre-tokens that are coded before their ids are joined, characters of a text that is not cut for that.
 AT_ONCE, SHORT_TEXT = 200_000, 1_000_000
 #: Buckets of so few positions are merged one by one.
@@ -106,16 +106,6 @@ class RankBpe:
         #: The id of separators, which no token has.
         self.separator = max(ranks.values()) + 1
         self.queue = RankQueue(self.separator)
-        # every pair of tokens whose joint bytes are a token: one of its cuts in two
-        pairs = {}
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs) or [-1], np.int64)
-        self.made = np.array([pairs.get(k, -1) for k in self.keys.tolist()], np.int64)
         self.words: dict[str, bytes] = {}
 
     @classmethod
@@ -129,11 +119,28 @@ class RankBpe:
                     ranks[base64.b64decode(token)] = int(rank)
         return cls(ranks, pattern)
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Every pair of tokens whose joint bytes are a token: one of its cuts in two. Decoding does without."""
+        found = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = rank
+        return found
+
+    @cached_property
+    def sorted_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = sorted(self.pairs) or [-1]
+        return np.array(keys, np.int64), np.array([self.pairs.get(k, -1) for k in keys], np.int64)
+
     def _ranks(self, left: np.ndarray | int, right: np.ndarray | int) -> np.ndarray:
         """Ranks of the tokens that neighbouring tokens make, -1 where there is none."""
         key = np.left_shift(left, 32) | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        keys, made = self.sorted_pairs
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, made[at], -1)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The packed ids of each pre-token."""

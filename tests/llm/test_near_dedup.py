@@ -3,8 +3,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
+from mirepoix.llm import near_dedup
 from mirepoix.llm.common import components
 from mirepoix.llm.near_dedup import near_duplicates
 
@@ -88,3 +90,58 @@ def test_components_of_chains_hubs_and_loops(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {400: 400, 401: 400}
     assert {n: c for n, c in got.items() if n != 300} == want
+
+
+def test_one_bucket_of_unlike_members(spark, monkeypatch):
+    """2,000 members that share a bucket and nothing else but a few close pairs: verified pairs stay in proportion."""
+    draw = random.Random(5)
+    sets = [sorted(draw.sample(range(10**9), 40)) for _ in range(1900)]
+    sets += [sorted([*s[:38], 10**9 + i]) for i, s in enumerate(sets[:100])]
+    order = list(range(2000))
+    draw.shuffle(order)
+    rows = [(i, 40 if n < 1900 else 39, [77, 1000 + i], sets[n]) for i, n in enumerate(order)]
+    reps = spark.createDataFrame([r[:3] for r in rows], "id bigint, n bigint, keys array<bigint>")
+    items = spark.createDataFrame([(r[0], r[3]) for r in rows], "id bigint, items array<bigint>")
+    pairs = []
+    verified = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda p, *rest: pairs.append(p.count()) or verified(p, *rest))
+    got = {r.node: r.component for r in near_dedup.linked_groups(reps, lambda ids: items, 80).collect()}
+    place = {n: i for i, n in enumerate(order)}
+    want = {}
+    for n in range(100):
+        a, b = place[n], place[1900 + n]
+        want |= {a: min(a, b), b: min(a, b)}
+    assert got == want
+    assert sum(pairs) < 2 * len(rows)
+
+
+@pytest.mark.parametrize("side", [False, True])
+def test_joining_links_against_all_pairs(side):
+    draw = random.Random(8)
+    sets = []
+    for _ in range(12):
+        base = draw.sample(range(10**6), 60)
+        sets += [np.array(sorted(set(base[draw.randrange(6) :]) | {draw.randrange(10**6) for _ in range(draw.randrange(5))})) for _ in range(5)]
+    component = np.array([draw.choice([i, i - i % 5]) for i in range(60)])
+    sides = np.array([draw.randrange(2) for _ in sets])
+    links = near_dedup.joining_links(sets, component, sides if side else None, 80)
+
+    def groups(pairs):
+        parent = {c: c for c in component.tolist()}
+
+        def root(c):
+            while parent[c] != c:
+                c = parent[c]
+            return c
+
+        for i, j in pairs:
+            parent[root(component[i])] = root(component[j])
+        return {frozenset(c for c in parent if root(c) == r) for r in map(root, parent)}
+
+    def like(i, j):
+        both = len(set(sets[i]) & set(sets[j]))
+        return 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both)
+
+    every = [(i, j) for i, j in itertools.combinations(range(60), 2) if like(i, j) and (not side or sides[i] != sides[j])]
+    assert groups(links) == groups(every)
+    assert len(links) < len(set(component.tolist()))
