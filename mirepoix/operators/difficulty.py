@@ -57,10 +57,13 @@ def fit_classifier(
     max_categories: int | None = None,
     max_depth: int = MAX_DEPTH,
     min_rows: int = MIN_ROWS_PER_NODE,
+    max_bins: int = 32,
 ) -> PipelineModel:
     """Fit a decision ``tree`` or naive ``bayes`` on the assembled features.
 
-    ``max_categories`` lets features with at most that many values be treated as categories.
+    ``max_categories`` lets features with at most that many values be treated as categories, which a tree parts by
+    sets of values. Other features are cut between ``max_bins`` of their values: with as many bins as values, at
+    every midpoint between two of them. A feature's categories must not outnumber the bins.
     """
     vector, stages = "features", [VectorAssembler(inputCols=list(features), outputCol="features")]
     if max_categories is not None:
@@ -72,7 +75,7 @@ def fit_classifier(
         )
     common = {"labelCol": label_model.getOutputCol(), "featuresCol": vector}
     if kind == "tree":
-        classifier = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=min_rows, **common)
+        classifier = DecisionTreeClassifier(maxDepth=max_depth, minInstancesPerNode=min_rows, maxBins=max_bins, **common)
     elif kind == "bayes":
         classifier = NaiveBayes(**common)
     else:
@@ -114,6 +117,31 @@ def correlation_matrix(df: DataFrame, features: Sequence[str] = FEATURES) -> Dat
     return df.sparkSession.createDataFrame(cells, "a string, b string, corr double")
 
 
+def pca_invariants(df: DataFrame, vector: str, k: int, key: str, checked: int = 5) -> DataFrame:
+    """What all components have in common whatever their signs, as rows (what, key, value).
+
+    ``norm``: the sum of squares of a row's ``k`` components; with as many components as dimensions that is the
+    row's own sum of squares, as the components are an orthonormal basis. ``covariance i,j`` of two of the first
+    ``checked`` components: 0. ``falling i``: 1 if component i varies no less than the next.
+    """
+    parts = [f"pc{i + 1}" for i in range(k)]
+    rows = pca(df, vector, k, [key])
+    norms = rows.select(
+        F.lit("norm").alias("what"), F.col(key), reduce(lambda a, b: a + b, (F.col(c) * F.col(c) for c in parts)).alias("value")
+    )
+    first = parts[:checked]
+    pairs = [(a, b) for i, a in enumerate(first) for b in first[i + 1 :]]
+    values = {f"covariance {a[2:]},{b[2:]}": F.covar_pop(a, b) for a, b in pairs}
+    # variances that are equal may come in either order
+    values |= {
+        f"falling {a[2:]}": (F.var_pop(a) >= F.var_pop(b) * (1 - 1e-9)).cast("double") for a, b in zip(first, first[1:])
+    }
+    cells = F.array(*[F.struct(F.lit(n).alias("what"), v.alias("value")) for n, v in values.items()])
+    checks = rows.agg(cells.alias("cells")).select(F.explode("cells").alias("c"))
+    kind = df.schema[key].dataType
+    return norms.unionByName(checks.select("c.what", F.lit(None).cast(kind).alias(key), "c.value"))
+
+
 def pca(df: DataFrame, vector: str, k: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """Keys plus the first ``k`` principal components as columns pc1..pck of an array column."""
     vectors = df.select(*keys, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))

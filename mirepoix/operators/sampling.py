@@ -159,9 +159,11 @@ def share(df: DataFrame, fraction: float, keys: list[str], seed: int = 0, portab
     return df.filter(hash_fraction(*keys, seed=seed, portable=portable) < fraction)
 
 
-def fraction_split(df: DataFrame, keys: list[str], training: float = 0.7, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def fraction_split(
+    df: DataFrame, keys: list[str], training: float = 0.7, seed: int = 0, portable: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """Random two-way split by key hash: (training, rest)."""
-    drawn = hash_fraction(*keys, seed=seed) < training
+    drawn = hash_fraction(*keys, seed=seed, portable=portable) < training
     return df.filter(drawn), df.filter(~drawn)
 
 

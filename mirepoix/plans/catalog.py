@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -548,11 +549,14 @@ def difficulty_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str, *kinds: str) -> dict[str, DataFrame]:
-    """Predictions of each kind of classifier for the held-out 30 %."""
+    """Predictions of each kind of classifier for the held-out 30 %.
+
+    The tree has a bin for every cook time (350 at most), so it may cut between any two of them.
+    """
     data = sources.stage(difficulty_training(spark, sf_dir), "difficulty")
     labels = difficulty.fit_label_index(data)
-    training, test = sampling.fraction_split(data, ["ID"], 0.7, seed=42)
-    return {k: difficulty.fit_classifier(training, labels, k).transform(test) for k in kinds}
+    training, test = sampling.fraction_split(data, ["ID"], 0.7, seed=42, portable=True)
+    return {k: difficulty.fit_classifier(training, labels, k, max_bins=512).transform(test) for k in kinds}
 
 
 @query
@@ -580,6 +584,116 @@ def difficulty_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(difficulty.accuracy_table(classified(spark, sf_dir, "tree", "bayes")))
 
 
+@query
+def category_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region group of orders from the nation, a category, beside the price, a number."""
+    orders = fx.table(spark, sf_dir, "orders").join(
+        fx.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
+    ).join(fx.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    group = F.when(F.col("n_regionkey").isin(0, 2, 3), "inner").otherwise("outer")
+    rows = orders.select(F.col("o_orderkey").alias("ID"), group.alias("REGION_GROUP"), "c_nationkey", "o_totalprice")
+    rows = sources.stage(rows, "region_groups")
+    labels = difficulty.fit_label_index(rows, "REGION_GROUP")
+    training, test = sampling.fraction_split(rows, ["ID"], 0.7, seed=42, portable=True)
+    model = difficulty.fit_classifier(
+        training, labels, "tree", ["c_nationkey", "o_totalprice"], max_categories=25, max_depth=3, min_rows=1
+    )
+    return model.transform(test).select("ID", "REGION_GROUP", "predictedLabel")
+
+
 @query
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64 components, checked by what does not depend on their signs."""
+    rows = difficulty.pca_invariants(fx.table(spark, sf_dir, "embeddings"), "embedding", 64, "vec_id")
+    # minus 0 is 0
+    return rows.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query
+def pca_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(difficulty.pca(fx.table(spark, sf_dir, "embeddings"), "embedding", 3, ["vec_id"]))
+
+
+# --- formats -------------------------------------------------------------------------------------
+
+
+@query
+def transcoded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents, written as UTF-16 in both orders of bytes and read again: (line, n)."""
+    texts = fx.table(spark, sf_dir, "documents").filter("text is not null")
+    one_end = F.regexp_replace("text", "\\r", " ")
+    folder = sources.fresh_path(spark, "utf16")
+    for name, encoding, end in (("even", "UTF-16LE", "\n\0"), ("odd", "UTF-16BE", "\0\n")):
+        own = texts.filter(F.col("doc_id") % 2 == (0 if name == "even" else 1))
+        # the bytes as they are, with line ends in the same encoding
+        raw = F.encode(one_end, encoding).cast("string")
+        own.select(raw.alias("value")).write.option("lineSep", end).text(f"{folder}/{name}")
+    even = sources.read_encoded_lines(spark, f"{folder}/even", "UTF-16LE")
+    odd = sources.read_encoded_lines(spark, f"{folder}/odd", "UTF-16BE")
+    return even.unionByName(odd).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def libsvm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as sparse LIBSVM lines, labelled by their ids, read again; components below 0.05 are zeros."""
+    small = F.transform("embedding", lambda x: F.when(F.abs(x) < 0.05, 0.0).otherwise(x.cast("double")))
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("label"), small.alias("features"))
+    path = sources.write_libsvm(rows, sources.fresh_path(spark, "libsvm"))
+    back = sources.read_libsvm(spark, path, 64)
+    values = vector_to_array("features")
+    return back.select(
+        F.col("label").cast("bigint").alias("vec_id"),
+        F.size(F.filter(values, lambda x: x != 0)).alias("n_nonzero"),
+        F.round(values[0], 6).alias("x1"),
+        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: F.greatest(a, x)), 6).alias("largest"),
+    )
+
+
+@query
+def unquoted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quote characters in a delimited file without quoting, read again."""
+    one_line = F.regexp_replace(F.coalesce("text", F.lit("")), "[\\r\n|]", " ")
+    rows = fx.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit('"'), one_line, F.lit('" x')).alias("value"))
+    folder = sources.shared_folder(spark)
+    options = {**sources.PIPE, **sources.AS_IS}
+    name = sources.fresh_path(spark, "unquoted").removeprefix(f"{folder}/")
+    sources.write_delimited(rows, folder, name, options)
+    back = sources.read_delimited(spark, folder, name, options, "doc_id bigint, value string", quoted=False)
+    return back.select("doc_id", F.length("value").cast("bigint").alias("n_chars"), F.md5("value").alias("digest"))
+
+
+@query
+def graph_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingredient graph as a tab-separated table without a header, read again."""
+    graph = cooccurrence.ingredient_graph(staged_baskets(spark, sf_dir))
+    folder = sources.shared_folder(spark)
+    name = sources.fresh_path(spark, "graph").removeprefix(f"{folder}/")
+    sources.write_delimited(graph, folder, name, sources.TAB, header=False)
+    return sources.read_delimited(spark, folder, name, sources.TAB, graph.schema, header=False)
+
+
+@query
+def recipe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with their generic id renamed to the entity's."""
+    parts = fx.table(spark, sf_dir, "part").select("p_name", F.col("p_partkey").alias("ID"), "p_size")
+    return ingest.canonical_id(parts, "RECIPE_ID")
+
+
+@query
+def lemma_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingredient names after a dictionary stage. The dictionary lists every word of part names twice: with its first
+    four letters and with its first three, of which the smaller counts."""
+    words = fx.table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word"))
+    entries = F.array(F.substring("word", 1, 4), F.substring("word", 1, 3))
+    lemmas = words.select("word", F.explode(entries).alias("lemma"))
+    return text.ingredient_names(fx.ingredient_text(spark, sf_dir), lemmas)
+
+
+@query
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation report as it stands in its file: three decimals, MAX for a ratio over nothing."""
+    folder = sources.shared_folder(spark)
+    name = sources.fresh_path(spark, "report").removeprefix(f"{folder}/")
+    report = evaluation.show_likelihood_ratio(evaluation_report(spark, sf_dir))
+    sources.write_report(report, folder, name)
+    return sources.read_delimited(spark, folder, name)

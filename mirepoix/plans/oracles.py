@@ -204,6 +204,38 @@ CTES: dict[str, str] = {
     "name_words": """
         SELECT ID_INGREDIENT, word, count(DISTINCT rn) AS n, min(position) FILTER (WHERE rn = 1) AS first
         FROM tokens JOIN numbered USING (ID_INGREDIENT, LINE_NO) GROUP BY ID_INGREDIENT, word""",
+    "lemmas": """
+        SELECT word, least(min(word[1:3]), min(word[1:4])) AS lemma
+        FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word""",
+    "lemma_words": """
+        SELECT ID_INGREDIENT, coalesce(lemma, word) AS name_word, count(DISTINCT rn) AS n,
+               min(position) FILTER (WHERE rn = 1) AS first
+        FROM tokens JOIN numbered USING (ID_INGREDIENT, LINE_NO) LEFT JOIN lemmas USING (word)
+        GROUP BY ID_INGREDIENT, name_word""",
+    "drawn": f"""
+        SELECT *, {_fraction("ID", seed=42)} < 0.7 AS training FROM difficulty WHERE COOK_TIME > 0""",
+    "label_order": """
+        SELECT DIFFICULTY, row_number() OVER (ORDER BY count(*) DESC, DIFFICULTY) AS place
+        FROM difficulty WHERE COOK_TIME > 0 GROUP BY DIFFICULTY""",
+    "cuts": """
+        SELECT (max(COOK_TIME) FILTER (DIFFICULTY = 'easy') + min(COOK_TIME) FILTER (DIFFICULTY = 'medium')) / 2 AS easy,
+               (max(COOK_TIME) FILTER (DIFFICULTY = 'medium') + min(COOK_TIME) FILTER (DIFFICULTY = 'hard')) / 2 AS medium
+        FROM drawn WHERE training""",
+    "tree_predictions": """
+        SELECT ID, DIFFICULTY,
+               CASE WHEN COOK_TIME <= easy THEN 'easy' WHEN COOK_TIME <= medium THEN 'medium' ELSE 'hard' END AS predictedLabel
+        FROM drawn CROSS JOIN cuts WHERE NOT training""",
+    "bayes_counts": """
+        SELECT DIFFICULTY AS label, count(*) AS n, sum(COOK_TIME) AS x1, sum(N_INGREDIENTS) AS x2, sum(N_STEPS) AS x3,
+               x1 + x2 + x3 AS x
+        FROM drawn WHERE training GROUP BY DIFFICULTY""",
+    "bayes_predictions": """
+        SELECT drawn.ID, drawn.DIFFICULTY, label AS predictedLabel
+        FROM drawn CROSS JOIN bayes_counts JOIN label_order ON label_order.DIFFICULTY = label
+        WHERE NOT training
+        QUALIFY row_number() OVER (PARTITION BY ID ORDER BY
+          ln(n + 1) + COOK_TIME * ln((x1 + 1) / (x + 3)) + N_INGREDIENTS * ln((x2 + 1) / (x + 3))
+          + N_STEPS * ln((x3 + 1) / (x + 3)) DESC, place) = 1""",
 }
 
 
@@ -513,6 +545,62 @@ BODIES["quota_split"] = f"""
         WHERE {_fraction("b.USER_ID", "RECIPE_ID", '"type"')}
               < CASE WHEN "type" = 'recipes' THEN ratio_recipes ELSE ratio_reviews END"""
 
+BODIES["lemma_names"] = (
+    BODIES["ingredient_names"].replace("name_words", "lemma_words").replace("string_agg(word", "string_agg(name_word").replace("first, 0), word", "first, 0), name_word")
+)
+BODIES["graph_table"] = BODIES["ingredient_graph"]
+BODIES |= {
+    "difficulty_tree": "SELECT ID, DIFFICULTY, predictedLabel FROM tree_predictions",
+    "difficulty_bayes": "SELECT ID, DIFFICULTY, predictedLabel FROM bayes_predictions",
+    "difficulty_accuracy": """
+        SELECT 'tree' AS model, round(avg((DIFFICULTY = predictedLabel)::DOUBLE), 6) AS accuracy, count(*) AS n FROM tree_predictions
+        UNION ALL
+        SELECT 'bayes', round(avg((DIFFICULTY = predictedLabel)::DOUBLE), 6), count(*) FROM bayes_predictions""",
+    "category_tree": f"""
+        SELECT ID, REGION_GROUP, REGION_GROUP AS predictedLabel
+        FROM (SELECT o_orderkey AS ID, CASE WHEN n_regionkey IN (0, 2, 3) THEN 'inner' ELSE 'outer' END AS REGION_GROUP
+              FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
+        WHERE NOT {_fraction("ID", seed=42)} < 0.7""",
+    "pca": """
+        SELECT 'norm' AS what, vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS value
+        FROM embeddings
+        UNION ALL
+        SELECT 'covariance ' || i || ',' || j, NULL, 0.0 FROM range(1, 6) a(i), range(1, 6) b(j) WHERE i < j
+        UNION ALL
+        SELECT 'falling ' || i, NULL, 1.0 FROM range(1, 5) a(i)""",
+    "transcoded_lines": r"""
+        SELECT line, count(*) AS n
+        FROM (SELECT unnest(string_split(replace(text, chr(13), ' '), chr(10))) AS line FROM documents WHERE text IS NOT NULL)
+        GROUP BY line""",
+    "libsvm_round_trip": """
+        SELECT vec_id, len(list_filter(v, lambda x: x <> 0))::INTEGER AS n_nonzero, round(v[1], 6) AS x1,
+               round(greatest(0, list_max(v)), 6) AS largest
+        FROM (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN abs(x::DOUBLE) < 0.05 THEN 0 ELSE x::DOUBLE END) AS v
+              FROM embeddings)""",
+    "unquoted_documents": r"""
+        SELECT doc_id, length(value) AS n_chars, md5(value) AS digest
+        FROM (SELECT doc_id, '"' || regexp_replace(coalesce(text, ''), '[\r\n|]', ' ', 'g') || '" x' AS value FROM documents)""",
+    "recipe_ids": "SELECT p_partkey AS RECIPE_ID, p_name, p_size FROM part",
+}
+
+
+def _shown(column: str) -> str:
+    return f"CAST(CAST(CAST({column} AS DECIMAL(28,6)) AS DECIMAL(28,3)) AS VARCHAR)"
+
+
+_COUNTS = ("tp", "tn", "fp", "fn")
+_MEASURES = (
+    "mse", "mae", "rmse", "area_pr", "area_roc", "precision_1", "recall_1", "f1_1", "precision_0", "recall_0", "f1_0",
+    "accuracy", "ppv", "npv", "tpr", "tnr", "fpr", "fnr", "p_at_5", "p_at_10", "p_at_30",
+)
+BODIES["report_text"] = (
+    f"SELECT score, CASE WHEN fpr = 0 THEN 'MAX' ELSE {_shown('likelihood_ratio')} END AS likelihood_ratio, "
+    + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _COUNTS)
+    + ", "
+    + ", ".join(f"{_shown(c)} AS {c}" for c in _MEASURES)
+    + f" FROM ({BODIES['evaluation_report']})"
+)
+
 
 def oracles() -> dict[str, str]:
     """Complete statements by query name."""

@@ -2,6 +2,7 @@
 
 from mirepoix.sources.columnar import read_columnar, stage, unstage, write_columnar
 from mirepoix.sources.delimited import (
+    AS_IS,
     PIPE,
     TAB,
     delimited_path,
@@ -9,12 +10,13 @@ from mirepoix.sources.delimited import (
     write_delimited,
     write_report,
 )
-from mirepoix.sources.libsvm import read_libsvm
+from mirepoix.sources.libsvm import read_libsvm, write_libsvm
 from mirepoix.sources.transcode import read_encoded_lines, transcode
 from mirepoix.sources.typed import cast_except
 from mirepoix.sources.workspace import fresh_path, shared_folder
 
 __all__ = [
+    "AS_IS",
     "PIPE",
     "TAB",
     "cast_except",
@@ -30,5 +32,6 @@ __all__ = [
     "unstage",
     "write_columnar",
     "write_delimited",
+    "write_libsvm",
     "write_report",
 ]

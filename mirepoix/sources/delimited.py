@@ -10,7 +10,10 @@ from pyspark.sql.types import StructType
 
 PIPE: Mapping[str, str] = {"sep": "|", "encoding": "UTF-8"}
 TAB: Mapping[str, str] = {"sep": "\t", "encoding": "UTF-8"}
-
+#: Added to these: values as they stand, quote characters, spaces and backslashes included.
+AS_IS: Mapping[str, str] = {
+    "quote": "", "escape": "", "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def delimited_path(folder: str, name: str) -> str:
@@ -25,13 +28,14 @@ def read_delimited(
     options: Mapping[str, str] = PIPE,
     schema: StructType | str | None = None,
     quoted: bool = True,
+    header: bool = True,
 ) -> DataFrame:
-    """Read a headed delimited table: all strings, or typed by ``schema``.
+    """Read a delimited table, headed unless ``header`` is False: all strings, or typed by ``schema``.
 
     The schema is never inferred, so no extra pass over the files is made. ``quoted=False`` treats
     the quote character as data.
     """
-    reader = spark.read.options(**options).option("header", True)
+    reader = spark.read.options(**options).option("header", header)
     if not quoted:
         reader = reader.option("quote", "")
     if schema is not None:
