@@ -81,7 +81,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_mod("doc_id", 3) == 1
     labels = table(spark, sf_dir, "labels").filter(~held_out)
     scored = toxicity(table(spark, sf_dir, "documents"), labels)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_neighbours", "nearest")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_neighbours", "nearest", "neighbours")
 
 
 @query

@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,10 @@ BEGINNINGS = range(4, 9)
 LEVELS = (2, 3, 5)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that are scored before the others are held against the neighbours found there.
+FIRST_BLOCKS = 8
+#: Vectors whose result a task remembers, as copies of a text have the same.
+REMEMBERED_VECTORS = 50_000
 #: Weight of the share of toxic rows in a vote, in units of similarity.
 PRIOR = 0.5
 CALIBRATION_BINS = 12
@@ -41,53 +46,73 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and the range each one is of."""
+    length = ends - starts
+    of = np.repeat(np.arange(len(starts)), length)
+    return np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length) + starts[of], of
+
+
 class Index:
-    """Example vectors of unit length with their labels."""
+    """Example vectors of unit length with their labels and names.
+
+    Postings lie one term after the other, by number of the example; an entry is a term's postings in a block of
+    examples, with the largest weight among them.
+    """
 
-    def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray, n_terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: max(vectors[i], key=lambda t: (vectors[i][t], t)))
-        self.labels = labels[order]
+    def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray, names: list, n_terms: int):
+        #: Examples that share their heaviest term come together, so that blocks have few terms with large weights.
+        self.order = sorted(range(len(vectors)), key=lambda i: max(vectors[i], key=lambda t: (vectors[i][t], t)))
+        self.labels = np.asarray(labels)[self.order]
+        self.names = [names[i] for i in self.order]
         self.blocks = -(-len(vectors) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for n, i in enumerate(order):
-            for t, w in vectors[i].items():
-                postings[t].append((n, w))
-        self.ids = [np.array([n for n, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        #: For each term: the blocks that have it, the largest weight there, and where their postings start.
-        self.tops: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for ids, weights in zip(self.ids, self.weights, strict=True):
-            blocks, starts = np.unique(ids // BLOCK, return_index=True)
-            tops = np.maximum.reduceat(weights, starts) if len(ids) else np.empty(0)
-            self.tops.append((blocks, tops, np.append(starts, len(ids))))
+        postings = sorted((t, n, w) for n, i in enumerate(self.order) for t, w in vectors[i].items())
+        terms = np.array([t for t, _, _ in postings], np.int64)
+        self.ids = np.array([n for _, n, _ in postings], np.int64)
+        self.weights = np.array([w for _, _, w in postings])
+        key = terms * (self.blocks + 1) + self.ids // BLOCK
+        self.starts = np.flatnonzero(np.diff(key, prepend=-1))
+        self.ends = np.append(self.starts[1:], len(key))
+        self.block = self.ids[self.starts] // BLOCK
+        self.tops = np.maximum.reduceat(self.weights, self.starts)
+        self.entries = np.searchsorted(terms[self.starts], np.arange(n_terms + 1))
 
     def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the ``k`` nearest examples with a cosine above 0, ties by number."""
-        bound = np.zeros(self.blocks)
-        for t, w in query.items():
-            blocks, tops, _ = self.tops[t]
-            bound[blocks] += w * tops
-        ids, cosines = np.empty(0, np.int64), np.empty(0)
-        for block in np.argsort(-bound, kind="stable"):
-            least = cosines[-1] if len(cosines) == k else 0.0
-            if bound[block] <= 0 or bound[block] < least - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in query.items():
-                blocks, _, starts = self.tops[t]
-                at = np.searchsorted(blocks, block)
-                if at < len(blocks) and blocks[at] == block:
-                    a, b = starts[at], starts[at + 1]
-                    score[self.ids[t][a:b] - block * BLOCK] += w * self.weights[t][a:b]
-            found = np.flatnonzero(score > 0)
-            ids = np.concatenate([ids, found + block * BLOCK])
-            cosines = np.concatenate([cosines, score[found]])
-            if skip >= 0:
-                cosines, ids = cosines[ids != skip], ids[ids != skip]
+        """Numbers and cosines of the ``k`` nearest examples with a cosine above 0, ties by number.
+
+        The blocks of the highest bounds are scored first; then, at once, all others whose bound reaches the kth
+        cosine found so far. No other block can hold a nearer example.
+        """
+        terms = np.fromiter(query, np.int64, len(query))
+        weights = np.fromiter(query.values(), float, len(query))
+        entries, of = _ranges(self.entries[terms], self.entries[terms + 1])
+        weights = weights[of]
+        bound = np.bincount(self.block[entries], weights * self.tops[entries], self.blocks)
+        first = np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]
+        chosen = np.zeros(self.blocks, bool)
+        chosen[first[bound[first] > 0]] = True
+        ids, cosines = self._best(entries, weights, chosen, k, skip)
+        least = cosines[-1] if len(cosines) == k else 0.0
+        rest = (bound > 0) & (bound >= least - 1e-9) & ~chosen
+        if rest.any():
+            more = self._best(entries, weights, rest, k, skip)
+            ids, cosines = np.append(ids, more[0]), np.append(cosines, more[1])
             best = np.lexsort((ids, -np.round(cosines, 12)))[:k]
             ids, cosines = ids[best], cosines[best]
         return ids, cosines
 
+    def _best(self, entries: np.ndarray, weights: np.ndarray, chosen: np.ndarray, k: int, skip: int):
+        """The ``k`` nearest examples of the chosen blocks."""
+        own = chosen[self.block[entries]]
+        entries, weights = entries[own], weights[own]
+        at, of = _ranges(self.starts[entries], self.ends[entries])
+        score = np.bincount(self.ids[at], weights[of] * self.weights[at], len(self.labels))
+        if skip >= 0:
+            score[skip] = 0
+        ids = np.flatnonzero(score > 0)
+        best = np.lexsort((ids, -np.round(score[ids], 12)))[:k]
+        return ids[best], score[ids[best]]
+
 
 class Model:
     """Terms with their inverse document frequencies, the index, and the calibration of its votes."""
@@ -108,13 +133,13 @@ class Model:
         toxic = float((weight * self.index.labels[ids]).sum())
         return (toxic + PRIOR * self.prior) / (float(weight.sum()) + PRIOR), ids, cosines
 
-    def score(self, counts: dict[int, int]) -> tuple[float, int, float]:
-        """Calibrated score, number of neighbours and the cosine of the nearest (the evidence)."""
+    def score(self, counts: dict[int, int]) -> tuple[float, list, float]:
+        """Calibrated score, and as evidence the nearest examples' names and the cosine of the first."""
         query = self.unit(counts)
         if not query:
-            return self.calibrated(self.prior), 0, 0.0
+            return self.calibrated(self.prior), [], 0.0
         vote, ids, cosines = self.vote(query)
-        return self.calibrated(vote), len(ids), float(cosines.max(initial=0.0))
+        return self.calibrated(vote), [self.index.names[i] for i in ids.tolist()], float(cosines.max(initial=0.0))
 
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, self.bins, self.values))
@@ -178,6 +203,19 @@ class Terms:
         return Terms, (list(self.number),)
 
 
+def _document_frequencies(vectors: DataFrame, n_terms: int) -> DataFrame:
+    """``(t, n)``: documents that hold each term; a task sends its sums, one row a term at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=n_terms)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["t", "n"])
+
+    return vectors.select("terms").mapInArrow(run, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -192,7 +230,7 @@ def fit(
     ``labels`` are the rows that may be learnt from. None instead of a model if there is not an example of
     each label that holds a selected term.
     """
-    labels = labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    labels = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
     sizes = {r["y"]: r["count"] for r in labels.groupBy("y").count().collect()}
     half = most_examples // 2
     chosen = [labels.filter(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(half) for y in (0, 1)]
@@ -226,8 +264,8 @@ def fit(
         return None, vectors
     total = vectors.count()
     df = np.zeros(len(terms))
-    for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect():
-        df[r["t"]] = r["count"]
+    for r in _document_frequencies(vectors, len(terms)).collect():  # at most ``most_terms`` rows
+        df[r["t"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
     rows = vectors.join(examples, "id").filter("size(terms) > 0").orderBy("id").collect()
     y = np.array([r["y"] for r in rows], float)
@@ -237,8 +275,8 @@ def fit(
     stands = {1: sizes[1] / n1, 0: sizes[0] / n0}
     model = Model(terms, idf, None, sizes[1] / (sizes[0] + sizes[1]))
     units = [model.unit(dict(zip(r["terms"], r["counts"], strict=True))) for r in rows]
-    model.index = Index(units, y, len(terms))
-    order = sorted(range(len(units)), key=lambda i: max(units[i], key=lambda t: (units[i][t], t)))
+    model.index = Index(units, y, [r["id"] for r in rows], len(terms))
+    order = model.index.order
     votes = np.array([model.vote(units[i], skip=n)[0] for n, i in enumerate(order)])
     # examples without a selected term vote with the prior
     empty = {1: n1 - y.sum(), 0: n0 - (len(y) - y.sum())}
@@ -257,28 +295,45 @@ def toxicity(
     label_col: str = "toxic",
     threshold: float = 0.7,
 ) -> DataFrame:
-    """``(id_col, score, predicted, n_neighbours, nearest)``, one row a document.
+    """``(id_col, score, predicted, n_neighbours, nearest, neighbours)``, one row a document: ``neighbours`` are the ids
+    of the nearest examples, the nearest first, and ``nearest`` its cosine.
 
-    ``labels`` holds the rows to learn from; null labels and other values than 0 and 1 are left out, of
+    ``labels`` holds the rows to learn from; null ids and labels and other values than 0 and 1 are left out, of
     repeated ids the larger label counts. Null and empty texts, and texts without a selected term, get the
-    calibrated share of toxic rows; so do all texts if nothing can be learnt. Other columns are ignored.
+    calibrated share of toxic rows; if nothing can be learnt, all texts get that share as it is (0 without labels).
+    Other columns are ignored.
     """
     model, vectors = fit(docs, labels, id_col, text_col, label_col)
+    share = 0.0 if model else _share(labels, id_col, label_col)
 
     def run(frames):
+        known: dict[tuple, tuple] = {}
         for frame in frames:
             found = []
             for terms, counts in zip(frame["terms"], frame["counts"], strict=True):
-                found.append(model.score(dict(zip(terms.tolist(), counts.tolist(), strict=True))) if model else (0.0, 0, 0.0))
-            frame["score"], frame["n_neighbours"], frame["nearest"] = [list(c) for c in zip(*found, strict=True)] if found else ([], [], [])
-            yield frame[["id", "score", "n_neighbours", "nearest"]]
+                key = terms.tobytes(), counts.tobytes()
+                if key not in known:
+                    if len(known) >= REMEMBERED_VECTORS:
+                        known.clear()
+                    counted = dict(zip(terms.tolist(), counts.tolist(), strict=True))
+                    known[key] = model.score(counted) if model else (share, [], 0.0)
+                found.append(known[key])
+            frame["score"], frame["neighbours"], frame["nearest"] = [list(c) for c in zip(*found, strict=True)] if found else ([], [], [])
+            yield frame[["id", "score", "neighbours", "nearest"]]
 
     kind = vectors.schema["id"].dataType.simpleString()
-    scored = vectors.mapInPandas(run, f"id {kind}, score double, n_neighbours int, nearest double")
+    scored = vectors.mapInPandas(run, f"id {kind}, score double, neighbours array<{kind}>, nearest double")
     return scored.select(
         F.col("id").alias(id_col),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
-        "n_neighbours",
+        F.size("neighbours").alias("n_neighbours"),
         "nearest",
+        "neighbours",
     )
+
+
+def _share(labels: DataFrame, id_col: str, label_col: str) -> float:
+    """Share of toxic ones among labelled rows, 0 if there are none."""
+    known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    return float(known.agg(F.avg("y")).head()[0] or 0.0)
