@@ -94,6 +94,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of the ``k``-word shingles; with fewer words, of the whole sequence."""
+    return np.unique(shingles_in_order(hashes, k))
+
+
+def shingles_in_order(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The hash of the shingle from each word on."""
     n = len(hashes)
     if not n:
         return np.empty(0, np.uint64)
@@ -101,7 +106,7 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     acc = np.full(n - width + 1, np.uint64(width), np.uint64)
     for i in range(width):
         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n - width + 1 + i])
-    return np.unique(acc)
+    return acc
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -138,12 +143,33 @@ class MinMaxHash:
 
     def keys(self, values: np.ndarray) -> np.ndarray:
         """One bucket key for each band."""
-        rows = self.signature(values).reshape(self.bands, -1)
-        key = np.arange(1, self.bands + 1, dtype=np.uint64)
-        for i in range(rows.shape[1]):
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
+        return self._banded(self.signature(values)[None])[0]
+
+    def _banded(self, signatures: np.ndarray) -> np.ndarray:
+        rows = signatures.reshape(len(signatures), self.bands, -1)
+        key = np.arange(1, self.bands + 1, dtype=np.uint64)[None]
+        for i in range(rows.shape[2]):
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, i])
         return signed(key)
 
+    def keys_of_all(self, sets: list[np.ndarray], at_once: int = 32_768) -> np.ndarray:
+        """The keys of many sets, none empty; a set may list a value more than once."""
+        out, i = [np.empty((0, self.bands), np.int64)], 0
+        sizes = np.array([len(s) for s in sets], np.int64)
+        while i < len(sets):
+            # as many sets as fit, one at least
+            j = max(i + 1, int(np.searchsorted(np.cumsum(sizes[i:]), at_once, side="right")) + i)
+            if j == i + 1:
+                made = self.signature(sets[i])[None]
+            else:
+                h = self.a[:, None] * np.concatenate(sets[i:j])[None] + self.b[:, None]
+                starts = np.cumsum(sizes[i:j]) - sizes[i:j]
+                low, high = np.minimum.reduceat(h, starts, axis=1), np.maximum.reduceat(h, starts, axis=1)
+                made = np.stack([low.T, high.T], axis=2).reshape(j - i, -1)
+            out.append(self._banded(made))
+            i = j
+        return np.concatenate(out)
+
 
 # --- connected components ------------------------------------------------------------------------
 

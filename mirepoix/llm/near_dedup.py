@@ -92,7 +92,7 @@ def near_duplicates(
 
 
 def linked_groups(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """``(node, component)`` of the linked ones among ``reps``, rows ``(id, n, keys)`` with distinct sets.
+    """``(node, component)`` of the linked ones among ``reps``, rows ``(id, keys)`` with distinct sets.
 
     ``sets_of`` gives ``(id, items)`` for a table of ids: those that share a bucket with another.
     """

@@ -11,64 +11,43 @@ at least one such stretch, whatever stands around the run; stretches are compare
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from mirepoix.llm.common import MinMaxHash, fingerprint, mix, shingles, signed, small_batches, spread_join, word_hashes
+from mirepoix.llm.common import MinMaxHash, mix, shingles, shingles_in_order, signed, small_batches, spread_join, word_hashes
 from mirepoix.llm.near_dedup import linked_groups
-from mirepoix.sources import stage
+from mirepoix.sources import stage, unstage
 
 #: 21 permutations give 42 values in 14 bands of 3: a pair at similarity 0.8 is missed with 4e-5.
 PERMUTATIONS, BANDS = 21, 14
 #: Words of a stretch, and stretches among which the one of least hash is taken.
 STRETCH, WINDOW = 20, 31
 LEAST_WORDS = 40
-PARAGRAPH = re.compile(r"[^\n]+")
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, least_words: int, sets: bool) -> DataFrame:
-    """Paragraphs of at least ``least_words`` words: ``(id, start, end, words, fp)`` with band ``keys``, or with
-    the ``items`` of their sets. Positions are code points, the end exclusive."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    last = "items array<bigint>" if sets else "keys array<bigint>"
-    schema = StructType.fromDDL(f"id {kind}, start bigint, end bigint, words bigint, n bigint, fp binary, {last}")
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashing = MinMaxHash(PERMUTATIONS, BANDS)
-        for batch in small_batches(batches, "text"):
-            out: list[list] = [[] for _ in arrow]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for line in PARAGRAPH.finditer(text or ""):
-                    words = word_hashes(line.group())
-                    if len(words) < least_words:
-                        continue
-                    found = shingles(words, shingle_words)
-                    own = signed(found) if sets else hashing.keys(found)
-                    row = (doc, line.start(), line.end(), len(words), len(found), fingerprint(found), own)
-                    for column, value in zip(out, row, strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow
-            )
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-
-
-def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word of :func:`word_hashes`, in code points."""
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of :func:`word_hashes` and the place of each line feed, in code points."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    return points[np.flatnonzero(edge == 1)], points[np.flatnonzero(edge == -1)]
+    return points[np.flatnonzero(edge == 1)], points[np.flatnonzero(edge == -1)], points[np.flatnonzero(data == 10)]
+
+
+def lines_of(starts: np.ndarray, feeds: np.ndarray, n_points: int, least_words: int):
+    """Lines of enough words: start and end in code points, first word, word after the last."""
+    line = np.searchsorted(feeds, starts)
+    words = np.bincount(line, minlength=len(feeds) + 1)
+    first = np.cumsum(words) - words
+    own = np.flatnonzero(words >= max(1, least_words))
+    return np.append(0, feeds + 1)[own], np.append(feeds, n_points)[own], first[own], (first + words)[own]
 
 
 def stretch_hashes(words: np.ndarray) -> np.ndarray:
@@ -90,37 +69,78 @@ def stretch_hashes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The stretches of each text that are least in a window: ``(id, start, end, h1, h2)``."""
+def described(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, least_words: int) -> DataFrame:
+    """``(id, keys, start, end, words, h1, h2)`` of each paragraph (with ``keys``, its bands) and of each stretch that
+    is least in a window (without), from one pass over the texts. Positions are code points, the end exclusive."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = StructType.fromDDL(f"id {kind}, start bigint, end bigint, h1 bigint, h2 int")
+    schema = StructType.fromDDL(f"id {kind}, keys array<bigint>, start bigint, end bigint, words bigint, h1 bigint, h2 bigint")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashing = MinMaxHash(PERMUTATIONS, BANDS)
         for batch in small_batches(batches, "text"):
-            ids, parts = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            docs_of, sets, rows = [], [], [np.empty((0, 5), np.int64)]
+            of_stretches, stretches = [], [np.empty((0, 5), np.int64)]
+            for number, text in enumerate(batch.column(1).to_pylist()):
                 words = word_hashes(text)
-                if len(words) < STRETCH + WINDOW - 1:
+                if not len(words) or len(words) < min(least_words, STRETCH + WINDOW - 1):
                     continue
-                hashes = stretch_hashes(words)
-                least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(axis=1)
-                at = np.unique(least + np.arange(len(least)))
-                starts, ends = word_places(text)
-                second = (mix(hashes[at] ^ words[at]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                parts.append((starts[at], ends[at + STRETCH - 1], signed(hashes[at]), second))
-                ids.extend([doc] * len(at))
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=f.type) for c, f in zip([ids, *columns], arrow, strict=True)], schema=arrow
+                starts, ends, feeds = word_places(text)
+                start, end, first, after = lines_of(starts, feeds, len(text), least_words)
+                if len(start):
+                    every = shingles_in_order(words, shingle_words)
+                    for a, b in zip(first.tolist(), after.tolist(), strict=True):
+                        sets.append(every[a : b - shingle_words + 1] if b - a > shingle_words else shingles(words[a:b], shingle_words))
+                    fp = [xxhash.xxh3_128_digest(words[a:b].tobytes()) for a, b in zip(first, after, strict=True)]
+                    fp = np.frombuffer(b"".join(fp), np.int64).reshape(-1, 2)
+                    rows.append(np.column_stack([start, end, after - first, fp]))
+                    docs_of += [number] * len(start)
+                if len(words) >= STRETCH + WINDOW - 1:
+                    hashes = stretch_hashes(words)
+                    least = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(axis=1)
+                    at = np.unique(least + np.arange(len(least)))
+                    second = mix(hashes[at] ^ words[at])
+                    n = np.full(len(at), STRETCH)
+                    stretches.append(np.column_stack([starts[at], ends[at + STRETCH - 1], n, signed(hashes[at]), signed(second)]))
+                    of_stretches += [number] * len(at)
+            keys = hashing.keys_of_all(sets).reshape(-1)
+            offsets = np.append(np.arange(len(sets) + 1) * BANDS, np.full(len(of_stretches), len(keys)))
+            banded = pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()), pa.array(keys), mask=pa.array([False] * len(sets) + [True] * len(of_stretches), pa.bool_())
             )
+            values = np.concatenate([*rows, *stretches])
+            ids = batch.column(0).take(pa.array(docs_of + of_stretches, pa.int64()))
+            columns = [ids, banded, *(pa.array(np.ascontiguousarray(values[:, i])) for i in range(5))]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def repeated_stretches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def paragraph_sets(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, least_words: int) -> DataFrame:
+    """``(id, h1, h2, items)`` of each paragraph."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    arrow = to_arrow_schema(StructType.fromDDL(f"id {kind}, h1 bigint, h2 bigint, items array<bigint>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            out: list[list] = [[] for _ in arrow]
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = word_hashes(text)
+                if len(words) < max(1, least_words):
+                    continue
+                starts, _, feeds = word_places(text)
+                for a, b in zip(*lines_of(starts, feeds, len(text), least_words)[2:], strict=True):
+                    h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(words[a:b].tobytes()), np.int64).tolist()
+                    for column, value in zip(out, (doc, h1, h2, signed(shingles(words[a:b], shingle_words))), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, items array<bigint>")
+
+
+def repeated_stretches(found: DataFrame) -> DataFrame:
     """``(id, start, end, first)`` of the stretches that another document has too."""
-    found = stage(stretches(docs, id_col, text_col), "stretches")
     shared = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last"))
     shared = stage(shared.filter("first.id <> last").drop("last"), "shared")
     return spread_join(found, shared, ["h1", "h2"], "id", how="inner").select("id", "start", "end", "first")
@@ -142,32 +162,32 @@ def repeated_passages(
     Groups within one document are left out. Null, empty and shorter texts have no rows; a repeated row of
     ``docs`` counts as the same document. Other columns are ignored.
     """
-    described = stage(paragraphs(docs, id_col, text_col, shingle_words, least_words, False), "paragraphs")
+    every = stage(described(docs, id_col, text_col, shingle_words, least_words), "passages")
+    lines = every.filter("keys is not null")
     place = F.struct("id", "start")
-    classes = described.groupBy("fp").agg(
-        F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(place).alias("first"), F.max("id").alias("last")
-    )
+    classes = lines.groupBy("h1", "h2").agg(F.first("keys").alias("keys"), F.min(place).alias("first"), F.max("id").alias("last"))
     # numbers are made once, as the table is written
     classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         # the first paragraph of each wanted class, from its document
         homes = classes.join(wanted.withColumnRenamed("id", "class"), "class", "left_semi")
-        homes = stage(homes.select("class", "fp", F.col("first.id").alias(id_col)), "homes")
+        homes = stage(homes.select("class", "h1", "h2", F.col("first.id").alias(id_col)), "homes")
         texts = docs.select(id_col, text_col).join(homes.select(id_col).distinct(), id_col, "left_semi")
-        found = paragraphs(texts, id_col, text_col, shingle_words, least_words, True)
-        found = found.select(F.col("id").alias(id_col), "fp", "items").dropDuplicates([id_col, "fp"])
-        return homes.join(found, [id_col, "fp"]).select(F.col("class").alias("id"), "items")
+        found = paragraph_sets(texts, id_col, text_col, shingle_words, least_words)
+        found = found.withColumnRenamed("id", id_col).dropDuplicates([id_col, "h1", "h2"])
+        return homes.join(found, [id_col, "h1", "h2"]).select(F.col("class").alias("id"), "items")
 
-    groups = linked_groups(classes.select(F.col("class").alias("id"), "n", "keys"), sets_of, percent)
-    named = classes.select("class", "fp", "first", "last").join(groups.withColumnRenamed("node", "class"), "class", "left")
+    groups = linked_groups(classes.select(F.col("class").alias("id"), "keys"), sets_of, percent)
+    named = classes.select("class", "h1", "h2", "first", "last").join(groups.withColumnRenamed("node", "class"), "class", "left")
     named = stage(named.withColumn("component", F.coalesce("component", "class")), "named")
     whole = named.groupBy("component").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     whole = stage(whole.filter("first.id <> last"), "repeated")
-    named = stage(named.select("fp", "component").join(whole, "component").select("fp", "first"), "named")
-    out = spread_join(described.select("id", "start", "end", "words", "fp"), named, ["fp"], "id", how="inner")
+    kept = stage(named.select("h1", "h2", "component").join(whole, "component").select("h1", "h2", "first"), "kept")
+    unstage(classes, groups, named, whole)
+    out = spread_join(lines.select("id", "start", "end", "words", "h1", "h2"), kept, ["h1", "h2"], "id", how="inner")
     out = out.select("id", "start", "end", "words", "first", F.lit("paragraph").alias("kind"))
-    runs = repeated_stretches(docs, id_col, text_col)
+    runs = repeated_stretches(every.filter("keys is null").select("id", "start", "end", "h1", "h2"))
     runs = runs.select("id", "start", "end", F.lit(STRETCH).cast("bigint").alias("words"), "first", F.lit("stretch").alias("kind"))
     return out.unionByName(runs).select(
         F.col("id").alias(id_col),

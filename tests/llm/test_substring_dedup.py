@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from mirepoix.llm.common import MinMaxHash
 from mirepoix.llm.substring_dedup import repeated_passages
 
 DRAW = random.Random(6)
@@ -54,3 +57,51 @@ def test_edges(spark, documents):
     docs = documents((1, None), (2, ""), (3, "\n\n"), (4, " ".join(words(40_000))))
     assert repeated_passages(docs).count() == 0
     assert repeated_passages(docs.filter("doc_id > 9")).count() == 0
+
+
+def test_paragraphs_equal_brute_force(spark, documents):
+    """Random near copies of paragraphs: the same groups as comparing all pairs."""
+    draw = random.Random(11)
+    bases = [[f"b{draw.randrange(300)}" for _ in range(60)] for _ in range(8)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for _ in range(draw.randrange(1, 4)):
+            line = list(draw.choice(bases))
+            for _ in range(draw.choice([0, 0, 1, 1, 2, 5])):
+                line[draw.randrange(60)] = f"c{draw.randrange(10**6)}"
+            lines.append(" ".join(line))
+        rows.append((i, "\n".join(lines)))
+    places = {}
+    for i, text in rows:
+        start = 0
+        for line in text.split("\n"):
+            w = line.split()
+            places[i, start] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+            start += len(line) + 1
+    parent = {p: p for p in places}
+
+    def root(p):
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    for a in places:
+        for b in places:
+            if a < b and 100 * len(places[a] & places[b]) >= 80 * len(places[a] | places[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    groups = {}
+    for p in places:
+        groups.setdefault(root(p), []).append(p)
+    want = {p: min(g) for g in groups.values() if len({d for d, _ in g}) > 1 for p in g}
+    got = {(r.doc_id, r.start): (r.first_id, r.first_start) for r in repeated_passages(documents(*rows)).collect() if r.kind == "paragraph"}
+    assert got == want
+
+
+def test_keys_of_many_sets_equal_those_of_each():
+    draw = np.random.default_rng(1)
+    hashing = MinMaxHash(21, 14)
+    sets = [draw.integers(0, 2**63, n, dtype=np.uint64) for n in (1, 5, 300, 2, 700, 40, 1)]
+    assert (hashing.keys_of_all(sets, 100) == np.stack([hashing.keys(s) for s in sets])).all()
+    assert hashing.keys_of_all([]).shape == (0, 14)
