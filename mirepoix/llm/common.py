@@ -46,27 +46,31 @@ def map_texts(
 ) -> DataFrame:
     """``keep`` columns and what ``rows`` computes from a list of texts, one tuple a text.
 
-    ``schema`` names the computed columns. Runs over Arrow batches, cut small by :func:`small_batches`.
+    ``schema`` names the computed columns; names of ``keep`` may be any. Runs over Arrow batches, cut small by :func:`small_batches`.
     """
-    kept = df.select(*keep, F.col(text).alias("__text"))
-    out = df.select(*keep).schema
-    for field in StructType.fromDDL(schema):
-        out = out.add(field)
+    # columns travel under numbers, so that no name can clash or need quotes
+    kept = df.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("text")
+    )
+    out = StructType(kept.schema.fields[:-1])
+    made = StructType.fromDDL(schema)
+    for i, field in enumerate(made):
+        out = out.add(f"v{i}", field.dataType)
     arrow = to_arrow_schema(out)
     n_kept = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "__text"):
+        for batch in small_batches(batches, "text"):
             texts = batch.column(n_kept).to_pylist()
-            made = list(zip(*rows(texts), strict=True))
+            values_of = list(zip(*rows(texts), strict=True))
             columns = [batch.column(i) for i in range(n_kept)]
-            for values, field in zip(made, list(arrow)[n_kept:], strict=True):
+            for values, field in zip(values_of, list(arrow)[n_kept:], strict=True):
                 columns.append(pa.array(values, type=field.type))
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
             )
 
-    return kept.mapInArrow(run, out)
+    return kept.mapInArrow(run, out).toDF(*keep, *made.names)
 
 
 # --- words and shingles --------------------------------------------------------------------------

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.llm.common import map_texts
+from mirepoix.sources import stage
 
 #: Edits allowed for each character of an item.
 ERROR_RATE = 0.1
@@ -162,24 +163,31 @@ def with_leaks(
 
     Texts and items are compared lower-cased with white space as single spaces; positions are of that form
     and the start supposes equal length. Null or empty texts hold no item, null or empty items occur
-    nowhere, items repeated in the benchmark are reported once an id. All columns and repeated rows of
-    ``docs`` are kept. Items are brought to the tasks ``pass_chars`` characters at a time, one pass over
+    nowhere, items repeated in the benchmark are reported once an id. All columns, whatever their names, and repeated
+    rows of ``docs`` are kept; one named ``column`` is replaced. Items are brought to the tasks ``pass_chars`` characters at a time, one pass over
     the documents for each.
     """
     items = benchmark.select(F.col(item_col).cast("bigint").alias("id"), F.col(item_text_col).alias("text"))
     items = items.filter("length(text) > 0")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-total // pass_chars))
-    names = docs.columns
-    out = docs.select("*", F.lit(None).cast("array<struct<item_id:bigint,distance:int,start:int,end:int>>").alias("__leaks"))
+    kind = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
+    # columns travel under numbers; one that is named like the result is replaced
+    names = [c for c in docs.columns if c != column]
+    kept = [f"c{i}" for i in range(len(names))]
+    out = docs.select(
+        *[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept, strict=True)],
+        F.col(f"`{text_col}`").alias("look"),
+        F.array().cast(kind).alias("leaks"),
+    )
     for k in range(passes):
         mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k).distinct().orderBy("id", "text").collect()
         coded = tuple((r["id"], t) for r in mine if (t := normalised(r["text"])))
-        rows = _rows(coded, error_rate)
-        out = out.withColumn("__look", F.col(text_col))
-        out = map_texts(out, "__look", [*names, "__leaks"], rows, "__more array<struct<item_id:bigint,distance:int,start:int,end:int>>")
-        out = out.select(*names, F.when(F.col("__leaks").isNull(), F.col("__more")).otherwise(F.concat("__leaks", "__more")).alias("__leaks"))
-    return out.withColumnRenamed("__leaks", column)
+        out = map_texts(out, "look", [*kept, "look", "leaks"], _rows(coded, error_rate), f"more {kind}")
+        out = out.select(*kept, "look", F.concat("leaks", "more").alias("leaks"))
+        if passes > 1:  # else every pass would keep a Python worker of its own in each task
+            out = stage(out, "leaks")
+    return out.select(*kept, "leaks").toDF(*names, column)
 
 
 def _rows(items: tuple, error_rate: float):

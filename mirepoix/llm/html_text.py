@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mirepoix.llm.common import map_texts
 
@@ -28,15 +28,23 @@ DROPPED = frozenset(
     "script style noscript template head nav footer aside form button select option textarea input iframe object"
     " embed canvas svg math audio video menu dialog title".split()
 )
-#: Words of class, id and role that mark what is not main text.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay"
+_WORDS = (
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|overlay"
     r"|navigation|navbar|nav|menus?|breadcrumbs?|sidebars?|side|widgets?|related|recommend\w*|share|sharing|social"
     r"|comments?|disqus|replies|reply|respond|footer|foot|header|masthead|topbar|toolbar|newsletter|subscribe|signup|login"
-    r"|search|pagination|pager|skip|contentinfo|complementary)(?=$|[\s_-])",
+    r"|search|pagination|pager|skip|contentinfo|complementary"
+)
+#: Names (class, id, role) of what is not main text: such a word with or without words of place and form around it. A
+#: name like "has-sidebar" or "post-header" tells about something else.
+MARKED = re.compile(
+    rf"(?:(?:site|page|global|main|top|bottom|left|right|primary|secondary|cookie|reader|user)[_-])*(?:{_WORDS})"
+    rf"(?:[_-](?:{_WORDS}|list|box|section|wrap|wrapper|container|area|bar|block|links?|inner|content|form|thread|item|unit|slot"
+    r"|top|bottom|left|right|\d+))*",
     re.IGNORECASE,
 )
-#: Elements whose header is part of the text, and that hold the text as a whole.
+#: Marked parts that may well be longer than the main text.
+REMARKS = re.compile(r"comment|disqus|repl|respond", re.IGNORECASE)
+#: Elements whose header is part of the text.
 WHOLE = frozenset(("article", "main"))
 #: Opening one of these ends an open paragraph.
 BLOCKS = frozenset(
@@ -55,15 +63,18 @@ ENDS = {
 }
 #: No open paragraph is looked for beyond these.
 SCOPE = frozenset("html body table td th caption button object template article section main div".split())
-#: Deeper elements become siblings, so that no page exhausts the stack.
-DEEPEST = 200
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "dropped", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = (
+        "chars", "children", "density", "dropped", "inside", "link_chars", "link_tags", "marked", "parent", "sum", "tag", "tags",
+    )
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        #: Within an article or the like; named as something else than main text.
+        self.inside = tag in WHOLE or (parent is not None and parent.inside)
+        self.marked = False
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
@@ -76,7 +87,8 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None, False)
         self.body: Node | None = None
-        self.depth = 0
+        #: How many elements of a tag are open.
+        self.open: Counter = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ("html", "body"):
@@ -89,6 +101,10 @@ class Tree(HTMLParser):
         if tag in ENDS:
             self._close_to(*ENDS[tag])
         node = self._open(tag, self._dropped(tag, attrs))
+        if named(tag, attrs):
+            # remarks go whatever they hold, other marked parts unless they hold the text itself
+            remarks = any(n in ("class", "id", "role") and v and REMARKS.search(v) for n, v in attrs)
+            node.dropped, node.marked = node.dropped or remarks, not remarks
         if tag in VOID:
             self._leave(node)
 
@@ -107,43 +123,50 @@ class Tree(HTMLParser):
     def _open(self, tag: str, dropped: bool) -> Node:
         node = Node(tag, self.at, dropped)
         self.at.children.append(node)
-        if self.depth < DEEPEST:
-            self.at, self.depth = node, self.depth + 1
+        self.at = node
+        self.open[tag] += 1
         return node
 
     def _leave(self, node: Node) -> None:
         if self.at is node and node.parent is not None:
-            self.at, self.depth = node.parent, self.depth - 1
+            self.at = node.parent
+            self.open[node.tag] -= 1
 
     def _close_to(self, tags: set, bounds) -> None:
-        node, up = self.at, 0
+        if not any(self.open[t] for t in tags):
+            return
+        node = self.at
         while node.parent is not None and node.tag not in tags:
             if node.tag in bounds or node.tag == "body":
                 return
-            node, up = node.parent, up + 1
-        if node.parent is not None and node.tag in tags:
-            self.at, self.depth = node.parent, self.depth - up - 1
+            node = node.parent
+        if node.parent is not None:
+            while self.at is not node:
+                self._leave(self.at)
+            self._leave(node)
 
     def _dropped(self, tag: str, attrs: list) -> bool:
         if tag in DROPPED:
             return True
-        inside = self.at
-        while inside is not None and inside.tag not in WHOLE:
-            inside = inside.parent
         if tag == "header":
-            return inside is None
-        if tag in WHOLE or tag in ("b", "p", "br"):
-            return False
+            return not self.at.inside
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return True
-            if name in ("class", "id", "role") and value and MARKED.search(value):
-                return True
             if name == "style" and value and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
                 return True
         return False
 
 
+def named(tag: str, attrs: list) -> bool:
+    """Whether an element's names say that it is not main text."""
+    if tag in WHOLE or tag in ("b", "p", "br"):
+        return False
+    return any(
+        name in ("class", "id", "role") and value and any(map(MARKED.fullmatch, value.split())) for name, value in attrs
+    )
+
+
 def _length(text: str) -> int:
     return len(" ".join(text.split()))
 
@@ -186,26 +209,35 @@ def measure(body: Node) -> list[Node]:
 
 
 def content(body: Node) -> tuple[Node, float]:
-    """The subtree of the largest sum and the threshold of the path to it.
-
-    Inside an article or main element that element's own subtree is taken.
-    """
+    """The subtree of the largest sum and the threshold of the path to it."""
     nodes = measure(body)
     best = max(nodes, key=lambda n: n.sum)
-    threshold, node, whole = math.inf, best, None
+    threshold, node = math.inf, best
     while node is not None:
         threshold = min(threshold, node.density)
-        if node.tag in WHOLE:
-            whole = node
         node = node.parent if node is not body else None
-    if whole is not None:
-        return whole, 0.0
     # an inline element or a paragraph is never the whole text
     while best is not body and (best.tag in INLINE or best.tag == "p"):
         best = best.parent
     return best, threshold
 
 
+def drop_marked(body: Node) -> None:
+    """Leaves out marked parts, but for one that holds a main heading or an article and at least half of the page's text
+    outside links: that is a wrapper with a telling name, not a part of its own."""
+    nodes = in_order(body)
+    plain: dict[int, int] = {}
+    headed: dict[int, bool] = {}
+    for node in reversed(nodes):
+        below = [id(c) for c in node.children if isinstance(c, Node) and not c.dropped]
+        own = sum(_length(c) for c in node.children if isinstance(c, str)) + sum(map(plain.__getitem__, below))
+        plain[id(node)] = 0 if node.tag == "a" else own
+        headed[id(node)] = node.tag in WHOLE or node.tag == "h1" or any(map(headed.__getitem__, below))
+    for node in nodes:
+        if node.marked and not (headed[id(node)] and 2 * plain[id(node)] >= plain[id(body)]):
+            node.dropped = True
+
+
 def blocks(top: Node) -> Iterator[str]:
     """Text of each block in page order, white space as single spaces; what inline elements hold belongs to
     the block around them, and a line break is a space."""
@@ -247,6 +279,7 @@ def main_text(html: str | None) -> str:
     body = tree.body or tree.root
     if body is not tree.root and body.children == [] and len(tree.root.children) > 1:
         body = tree.root
+    drop_marked(body)
     top, threshold = content(body)
     if threshold > 0:
         # of what lies beside the content, blocks below the threshold that are mostly links go
@@ -267,5 +300,4 @@ def with_main_text(pages: DataFrame, html_col: str = "html", column: str = "text
         return ((main_text(t),) for t in texts)
 
     names = [c for c in pages.columns if c != column]
-    look = pages.withColumn("__html", F.col(html_col))
-    return map_texts(look, "__html", names, rows, f"`{column}` string")
+    return map_texts(pages, html_col, names, rows, f"`{column}` string")

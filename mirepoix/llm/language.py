@@ -148,5 +148,4 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text")
                     yield UNDETERMINED, 0.0
 
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    look = docs.withColumn("__look", F.col(text_col))
-    return map_texts(look, "__look", names, rows, "lang_pred string, score double")
+    return map_texts(docs, text_col, names, rows, "lang_pred string, score double")

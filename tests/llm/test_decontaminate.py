@@ -68,3 +68,11 @@ def test_edges(spark, documents):
     assert got == [(1, ()), (2, ()), (3, (1,)), (4, ()), (4, ())]
     assert with_leaks(docs, benchmark.filter("item_id > 9")).filter("size(leaks) > 0").count() == 0
     assert with_leaks(docs.filter("doc_id > 9"), benchmark).count() == 0
+
+
+def test_clashing_names_and_passes(spark):
+    docs = spark.createDataFrame([(1, "the test item number one", "a", "b", "c")], "doc_id int, text string, __look string, leaks string, `x.y` string")
+    items = spark.createDataFrame([(i, f"the test item number {w}") for i, w in enumerate(["one", "two", "six"])], "item_id int, text string")
+    got = with_leaks(docs, items, error_rate=0.01, pass_chars=30)
+    assert got.columns == ["doc_id", "text", "__look", "x.y", "leaks"]
+    assert [leak.item_id for leak in got.head().leaks] == [0]
