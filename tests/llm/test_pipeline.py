@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     names = contract.queries()
     assert "pipeline" in names
-    assert {int(re.match(r"op(\d+)_", n).group(1)) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n).group(1)) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert [n for n, _ in pipeline.STAGES] == ["language", "near_dedup", "decontaminate", "personal_data", "packing"]
 
 
