@@ -5,13 +5,14 @@ Each measure takes all score columns at once and makes one pass over the predict
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mirepoix.functions import steady
+from mirepoix.sources import stage
 
 
 def _to_rows(wide: DataFrame, scores: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -29,17 +30,57 @@ def _share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
+def _fold(df: DataFrame, scores: Sequence[str], *families: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per score with the aggregates of all families, from a single pass over ``df``."""
+    folds = {name: fold for family in families for name, fold in family.items()}
+    each = [fold(F.col(s)).alias(f"{name}__{i}") for i, s in enumerate(scores) for name, fold in folds.items()]
+    return _to_rows(df.agg(*each), scores, list(folds))
+
+
+def _errors(label: str) -> dict[str, Callable[[Column], Column]]:
+    def gap(score: Column) -> Column:
+        return F.col(label).cast("double") - score.cast("double")
+
+    return {
+        "mse": lambda s: F.avg(gap(s) * gap(s)),
+        "mae": lambda s: F.avg(F.abs(gap(s))),
+        "rmse": lambda s: F.sqrt(F.avg(gap(s) * gap(s))),
+    }
+
+
 def regression_metrics(df: DataFrame, label: str, scores: Sequence[str]) -> DataFrame:
     """MSE, MAE and RMSE per score, over rows where both values are known."""
-    folded = []
-    for i, s in enumerate(scores):
-        gap = F.col(label).cast("double") - F.col(s).cast("double")
-        folded += [
-            F.avg(gap * gap).alias(f"mse__{i}"),
-            F.avg(F.abs(gap)).alias(f"mae__{i}"),
-            F.sqrt(F.avg(gap * gap)).alias(f"rmse__{i}"),
-        ]
-    return _to_rows(df.agg(*folded), scores, ["mse", "mae", "rmse"])
+    return _fold(df, scores, _errors(label))
+
+
+def _confusion(label: str, label_cut: float, score_cut: float) -> dict[str, Callable[[Column], Column]]:
+    relevant = F.coalesce(F.col(label) >= label_cut, F.lit(False))
+    irrelevant = F.coalesce(F.col(label) < label_cut, F.lit(False))
+
+    def positive(score: Column) -> Column:
+        return F.coalesce(score >= score_cut, F.lit(False))
+
+    return {
+        "tp": lambda s: F.count_if(positive(s) & relevant),
+        "tn": lambda s: F.count_if(~positive(s) & irrelevant),
+        "fp": lambda s: F.count_if(positive(s) & ~relevant),
+        "fn": lambda s: F.count_if(~positive(s) & ~irrelevant),
+    }
+
+
+def _rates() -> dict[str, Column]:
+    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    tpr, fpr = _share(tp, tp + fn), _share(fp, fp + tn)
+    return {
+        "accuracy": _share(tp + tn, tp + tn + fp + fn),
+        "ppv": _share(tp, tp + fp),
+        "npv": _share(tn, tn + fn),
+        "tpr": tpr,
+        "tnr": _share(tn, tn + fp),
+        "fpr": fpr,
+        "fnr": _share(fn, fn + tp),
+        "likelihood_ratio": F.try_divide(tpr, fpr),
+    }
 
 
 def confusion_metrics(
@@ -50,54 +91,22 @@ def confusion_metrics(
     A null score counts as negative. A null label is a false positive or false negative: it never
     agrees. Rates with denominator 0 are null; so is ``likelihood_ratio`` (TPR / FPR) when FPR is 0.
     """
-    folded = []
-    for i, s in enumerate(scores):
-        positive = F.coalesce(F.col(s) >= score_cut, F.lit(False))
-        relevant = F.coalesce(F.col(label) >= label_cut, F.lit(False))
-        irrelevant = F.coalesce(F.col(label) < label_cut, F.lit(False))
-        folded += [
-            F.count_if(positive & relevant).alias(f"tp__{i}"),
-            F.count_if(~positive & irrelevant).alias(f"tn__{i}"),
-            F.count_if(positive & ~relevant).alias(f"fp__{i}"),
-            F.count_if(~positive & ~irrelevant).alias(f"fn__{i}"),
-        ]
-    counts = _to_rows(df.agg(*folded), scores, ["tp", "tn", "fp", "fn"])
-    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
-    return counts.withColumns(
-        {
-            "accuracy": _share(tp + tn, tp + tn + fp + fn),
-            "ppv": _share(tp, tp + fp),
-            "npv": _share(tn, tn + fn),
-            "tpr": _share(tp, tp + fn),
-            "tnr": _share(tn, tn + fp),
-            "fpr": _share(fp, fp + tn),
-            "fnr": _share(fn, fn + tp),
-        }
-    ).withColumn("likelihood_ratio", F.try_divide("tpr", "fpr"))
+    return _fold(df, scores, _confusion(label, label_cut, score_cut)).withColumns(_rates())
 
 
-def binary_metrics(
-    df: DataFrame, label: str, scores: Sequence[str], score_cut: float, label_cut: float
-) -> DataFrame:
-    """Areas under the PR and ROC curves, and precision, recall and F1 at both cut scores.
+def _cuts(label: str, label_cut: float, score_cut: float) -> dict[str, Callable[[Column], Column]]:
+    """Counts over the rows in which both values are known."""
+    known, relevant = F.col(label).isNotNull(), F.col(label) >= label_cut
+    return {
+        "known_tp": lambda s: F.count_if(s.isNotNull() & known & (s >= score_cut) & relevant),
+        "known_fp": lambda s: F.count_if(s.isNotNull() & known & (s >= score_cut) & ~relevant),
+        "known_fn": lambda s: F.count_if(s.isNotNull() & known & ~(s >= score_cut) & relevant),
+        "known_tn": lambda s: F.count_if(s.isNotNull() & known & ~(s >= score_cut) & ~relevant),
+    }
 
-    Scores and labels are cut to 0 or 1, so a curve has at most two points and its area a closed form.
-    ``*_1`` are the measures at threshold 1 (predicted positive), ``*_0`` at threshold 0 (everything);
-    they are null when no score falls on that side. Rows with a null are left out.
-    """
-    folded = []
-    for i, s in enumerate(scores):
-        known = F.col(s).isNotNull() & F.col(label).isNotNull()
-        positive = F.col(s) >= score_cut
-        relevant = F.col(label) >= label_cut
-        folded += [
-            F.count_if(known & positive & relevant).alias(f"tp__{i}"),
-            F.count_if(known & positive & ~relevant).alias(f"fp__{i}"),
-            F.count_if(known & ~positive & relevant).alias(f"fn__{i}"),
-            F.count_if(known & ~positive & ~relevant).alias(f"tn__{i}"),
-        ]
-    counts = _to_rows(df.agg(*folded), scores, ["tp", "fp", "fn", "tn"])
-    tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
+
+def _areas() -> dict[str, Column]:
+    tp, fp, fn, tn = (F.col(f"known_{c}").cast("double") for c in ("tp", "fp", "fn", "tn"))
     relevant, irrelevant, positive, negative = tp + fn, fp + tn, tp + fp, fn + tn
     zero, one = F.lit(0.0), F.lit(1.0)
 
@@ -116,17 +125,33 @@ def binary_metrics(
         F.when(relevant == 0, zero).when(irrelevant == 0, one).otherwise((recall - fall_out + one) / 2)
     )
     at_one, at_zero = positive > 0, negative > 0
-    return counts.filter(relevant + irrelevant > 0).select(
-        "score",
-        pr_area.alias("area_pr"),
-        roc_area.alias("area_roc"),
-        F.when(at_one, precision).alias("precision_1"),
-        F.when(at_one, recall).alias("recall_1"),
-        F.when(at_one, f_measure).alias("f1_1"),
-        F.when(at_zero, base).alias("precision_0"),
-        F.when(at_zero, F.when(relevant == 0, zero).otherwise(one)).alias("recall_0"),
-        F.when(at_zero, F.coalesce(_share(2 * base, base + 1), zero)).alias("f1_0"),
-    )
+    return {
+        "area_pr": pr_area,
+        "area_roc": roc_area,
+        "precision_1": F.when(at_one, precision),
+        "recall_1": F.when(at_one, recall),
+        "f1_1": F.when(at_one, f_measure),
+        "precision_0": F.when(at_zero, base),
+        "recall_0": F.when(at_zero, F.when(relevant == 0, zero).otherwise(one)),
+        "f1_0": F.when(at_zero, F.coalesce(_share(2 * base, base + 1), zero)),
+    }
+
+
+def _is_known() -> Column:
+    return F.col("known_tp") + F.col("known_fp") + F.col("known_fn") + F.col("known_tn") > 0
+
+
+def binary_metrics(
+    df: DataFrame, label: str, scores: Sequence[str], score_cut: float, label_cut: float
+) -> DataFrame:
+    """Areas under the PR and ROC curves, and precision, recall and F1 at both cut scores.
+
+    Scores and labels are cut to 0 or 1, so a curve has at most two points and its area a closed form.
+    ``*_1`` are the measures at threshold 1 (predicted positive), ``*_0`` at threshold 0 (everything);
+    they are null when no score falls on that side. Rows with a null are left out.
+    """
+    counts = _fold(df, scores, _cuts(label, label_cut, score_cut)).filter(_is_known())
+    return counts.select("score", *[c.alias(name) for name, c in _areas().items()])
 
 
 def unpivot_scores(df: DataFrame, keys: Sequence[str], scores: Sequence[str]) -> DataFrame:
@@ -134,11 +159,36 @@ def unpivot_scores(df: DataFrame, keys: Sequence[str], scores: Sequence[str]) ->
     return df.unpivot(list(keys), [F.col(s).cast("double").alias(s) for s in scores], "score", "value")
 
 
-def _ranked(df: DataFrame, groups: Sequence[str], value: str, item: str, descending: bool, name: str, k: int):
-    """Number the first ``k`` rows of each group; rows beyond never reach the shuffle."""
+#: Spark limits a window per map task up to this rank (``spark.sql.optimizer.windowGroupLimitThreshold``).
+LIMITED_RANK = 1000
+#: Parts a group is ranked in beyond that rank.
+RANK_SHARDS = 256
+
+
+def top_k(
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str,
+    item: str | Sequence[str],
+    k: int,
+    descending: bool = True,
+    name: str = "rank",
+    shards: int = RANK_SHARDS,
+) -> DataFrame:
+    """The first ``k`` rows of each group with their rank in ``name``, ties in ``value`` by ``item``.
+
+    Null values come last in a descending ranking and first in an ascending one. Up to ``LIMITED_RANK`` each map task
+    keeps its own first ``k`` rows of a group. Beyond it Spark would sort a whole group in one task, so the
+    rows of a group are dealt to ``shards`` parts first, which are ranked apart; a second ranking merges at most
+    ``shards * k`` rows. The first ``k`` rows are among them however rows are dealt, so a retried task changes nothing.
+    """
+    items = [item] if isinstance(item, str) else list(item)
     by = F.desc_nulls_last(value) if descending else F.asc_nulls_first(value)
-    order = W.partitionBy(*groups).orderBy(by, item)
-    return df.withColumn(name, F.row_number().over(order)).filter(F.col(name) <= k)
+    number = lambda keys: F.row_number().over(W.partitionBy(*keys).orderBy(by, *items))
+    if k > LIMITED_RANK:
+        dealt = df.withColumn("__shard", F.pmod(F.xxhash64(*items), F.lit(shards)))
+        df = dealt.withColumn(name, number([*groups, "__shard"])).filter(F.col(name) <= k).drop("__shard", name)
+    return df.withColumn(name, number(groups)).filter(F.col(name) <= k)
 
 
 def precision_at_k(
@@ -157,7 +207,7 @@ def precision_at_k(
     the worst scores first.
     """
     long = unpivot_scores(df.select(user, item, label, *scores), [user, item, label], scores)
-    best = _ranked(long, ["score", user], "value", item, not ascending, "__rn", max(ks))
+    best = top_k(long, ["score", user], "value", item, max(ks), not ascending, "__rn")
     relevant = F.coalesce(F.col(label) >= label_cut, F.lit(False))
     per_user = best.groupBy("score", user).agg(
         *[(F.count_if((F.col("__rn") <= k) & relevant) / k).alias(f"p_at_{k}") for k in ks]
@@ -170,8 +220,8 @@ def prefix_agreement(
 ) -> DataFrame:
     """Per user: length of the common prefix of the two rankings, at most K, over K."""
     k = max(ks)
-    by_label = _ranked(df.select(user, item, label), [user], label, item, True, "position", k)
-    by_score = _ranked(df.select(user, item, score), [user], score, item, True, "position", k)
+    by_label = top_k(df.select(user, item, label), [user], label, item, k, name="position")
+    by_score = top_k(df.select(user, item, score), [user], score, item, k, name="position")
     met = by_label.select(user, "position", F.col(item).alias("__a")).join(
         by_score.select(user, "position", F.col(item).alias("__b")), [user, "position"]
     )
@@ -187,8 +237,8 @@ def topk_overlap(
 ) -> DataFrame:
     """Mean over users of the number of items among the K best by both rankings, over K."""
     k = max(ks)
-    by_label = _ranked(df.select(user, item, label), [user], label, item, True, "__r1", k)
-    by_score = _ranked(df.select(user, item, score), [user], score, item, True, "__r2", k)
+    by_label = top_k(df.select(user, item, label), [user], label, item, k, name="__r1")
+    by_score = top_k(df.select(user, item, score), [user], score, item, k, name="__r2")
     both = by_label.select(user, item, "__r1").join(by_score.select(user, item, "__r2"), [user, item], "left")
     per_user = both.groupBy(user).agg(
         *[
@@ -208,13 +258,45 @@ def evaluation_report(
     cut: float = 3,
     ks: Sequence[int] = (5, 10, 30),
 ) -> DataFrame:
-    """All measures of rounded ratings side by side, one row per score."""
-    return (
-        regression_metrics(df, label, scores)
-        .join(binary_metrics(df, label, scores, cut, cut), "score")
-        .join(confusion_metrics(df, label, scores, cut, cut), "score")
-        .join(precision_at_k(df, user, item, label, scores, ks, cut), "score")
+    """All measures of rounded ratings side by side, one row per score that is known with its label somewhere.
+
+    Two passes over ``df``: one for all counts and errors, one for the ranking.
+    """
+    return _measures(df, user, item, label, scores, cut, ks).filter("__known").drop("__known")
+
+
+def _measures(
+    df: DataFrame, user: str, item: str, label: str, scores: Sequence[str], cut: float, ks: Sequence[int]
+) -> DataFrame:
+    families = _errors(label), _cuts(label, cut, cut), _confusion(label, cut, cut)
+    areas = [c.alias(name) for name, c in _areas().items()]
+    rates = [c.alias(name) for name, c in _rates().items()]
+    wide = _fold(df, scores, *families).select(
+        "score", *_errors(label), *areas, "tp", "tn", "fp", "fn", *rates, _is_known().alias("__known")
     )
+    return wide.join(precision_at_k(df, user, item, label, scores, ks, cut), "score")
+
+
+def report_families(
+    df: DataFrame,
+    user: str,
+    item: str,
+    label: str,
+    scores: Sequence[str],
+    cut: float = 3,
+    ks: Sequence[int] = (5, 10, 30),
+) -> dict[str, DataFrame]:
+    """The report of ``evaluation_report`` cut into its families: errors, curves, ranking, confusion.
+
+    All are columns of one staged table with one row per score, so ``df`` is read twice for all of them.
+    """
+    whole = stage(_measures(df, user, item, label, scores, cut, ks).coalesce(1), "report")
+    return {
+        "regression": whole.select("score", *_errors(label)),
+        "binary": whole.filter("__known").select("score", *_areas()),
+        "ranking": whole.select("score", *[f"p_at_{k}" for k in ks]),
+        "confusion": whole.select("score", "tp", "tn", "fp", "fn", *_rates()),
+    }
 
 
 def show_likelihood_ratio(df: DataFrame, digits: int = 3) -> DataFrame:

@@ -516,6 +516,13 @@ def topk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def top_k_beyond_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5000 dearest lines of each return flag: three groups that hold all rows, and a rank windows do not limit."""
+    lines = fx.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return evaluation.top_k(lines, ["l_returnflag"], "l_extendedprice", ["l_orderkey", "l_linenumber"], 5000)
+
+
 @query
 def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     similarities = sources.stage(content(spark, sf_dir).similarities, "similarities")

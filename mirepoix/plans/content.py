@@ -64,7 +64,7 @@ class ContentRecommender:
 
     @cached_property
     def stats(self) -> DataFrame:
-        return user_stats(self.pairs, weight="N")
+        return self._keep(user_stats(self.pairs, weight="N"), "user_stats")
 
     @cached_property
     def split(self) -> DataFrame:

@@ -54,9 +54,10 @@ def ingest_job(spark: SparkSession, source: str, target: str) -> None:
 
 
 def _ratings(spark: SparkSession, dataset: str) -> DataFrame:
-    """Distinct USER_ID, RECIPE_ID, RATING of the reviews."""
+    """Distinct USER_ID, RECIPE_ID, RATING of the reviews; ratings may have a fraction."""
     rows = read_delimited(spark, dataset, "reviews").withColumnRenamed("AUTHOR_ID", "USER_ID")
-    return _ints(rows, "USER_ID", "RECIPE_ID", "RATING").distinct()
+    pair = [F.col(c).try_cast("int").alias(c) for c in ("USER_ID", "RECIPE_ID")]
+    return rows.select(*pair, F.col("RATING").try_cast("double").alias("RATING")).distinct()
 
 
 def _ingredients(spark: SparkSession, dataset: str) -> DataFrame:
@@ -65,12 +66,11 @@ def _ingredients(spark: SparkSession, dataset: str) -> DataFrame:
 
 def _reports(df: DataFrame, scores: Sequence[str], folder: str) -> None:
     """The four metric families of rounded ratings."""
-    names = ("USER_ID", "RECIPE_ID", "RATING")
-    write_report(evaluation.regression_metrics(df, "RATING", scores), folder, "regressionEvaluation")
-    write_report(evaluation.binary_metrics(df, "RATING", scores, CUT, CUT), folder, "binaryEvaluation")
-    write_report(evaluation.precision_at_k(df, *names, scores, KS, CUT), folder, "rankingEvaluation")
-    confusion = evaluation.confusion_metrics(df, "RATING", scores, CUT, CUT)
-    write_report(evaluation.show_likelihood_ratio(confusion), folder, "manualEvaluation")
+    parts = evaluation.report_families(df, "USER_ID", "RECIPE_ID", "RATING", scores, CUT, KS)
+    write_report(parts["regression"], folder, "regressionEvaluation")
+    write_report(parts["binary"], folder, "binaryEvaluation")
+    write_report(parts["ranking"], folder, "rankingEvaluation")
+    write_report(evaluation.show_likelihood_ratio(parts["confusion"]), folder, "manualEvaluation")
 
 
 def content_job(

@@ -522,6 +522,11 @@ BODIES: dict[str, str] = {
         JOIN ({_confusion("scored")}) USING (score) JOIN ({_precision("scored")}) USING (score)
         WHERE score = 'propR'""",
     "raw_score_report": _confusion("raw_scored", 0.5),
+    "top_k_beyond_limit": """
+        SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice,
+               CAST(row_number() OVER (PARTITION BY l_returnflag
+                                       ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber) AS INTEGER) AS rank
+        FROM lineitem QUALIFY rank <= 5000""",
     "difficulty_dataset": """
         SELECT ID, COOK_TIME, N_INGREDIENTS, N_STEPS, DIFFICULTY FROM difficulty WHERE COOK_TIME > 0""",
     "label_index": """

@@ -122,3 +122,36 @@ def test_report_equals_its_parts(spark):
         assert report[s]["tp"] == sum(x and y for x, y in hits)
         assert report[s]["mae"] == pytest.approx(sum(abs(r[2] - r[3 + i]) for r in data) / len(data))
         assert set(report[s]) >= {"area_pr", "p_at_5", "p_at_10", "p_at_30", "accuracy", "rmse"}
+
+
+def test_top_k_beyond_the_limit_of_windows(spark):
+    draw = random.Random(5)
+    rows = [("hot", i, float(draw.randrange(40))) for i in range(3000)] + [("cold", i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "user string, item int, value double")
+    got = evaluation.top_k(df, ["user"], "value", "item", 1500, name="place")
+    want = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (-r[2], r[1]))[:1500]
+    best = got.filter("user = 'hot'").orderBy("place").collect()
+    assert [(r.item, r.place) for r in best] == [(r[1], i + 1) for i, r in enumerate(want)]
+    assert [r.item for r in got.filter("user = 'cold'").orderBy("place").collect()] == list(range(20))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__shard" in plan and "__shard" not in got.columns
+    assert "__shard" not in evaluation.top_k(df, ["user"], "value", "item", 1000)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_report_reads_predictions_twice(spark, tmp_path):
+    rows = [(u, i, float(i % 5 + 1), float((i * u) % 5 + 1), None) for u in range(1, 6) for i in range(8)]
+    spark.createDataFrame(rows, "u int, i int, r double, a double, b double").write.parquet(str(tmp_path / "p"))
+    df = spark.read.parquet(str(tmp_path / "p"))
+    report = evaluation.evaluation_report(df, "u", "i", "r", ["a", "b"])
+    assert report._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 2
+    # b is never known: it has no curve and no row in the report, but counts and a ranking of its own
+    assert [r.score for r in report.collect()] == ["a"]
+    parts = evaluation.report_families(df, "u", "i", "r", ["a", "b"])
+    for name, alone in {
+        "regression": evaluation.regression_metrics(df, "r", ["a", "b"]),
+        "binary": evaluation.binary_metrics(df, "r", ["a", "b"], 3, 3),
+        "ranking": evaluation.precision_at_k(df, "u", "i", "r", ["a", "b"], (5, 10, 30), 3),
+        "confusion": evaluation.confusion_metrics(df, "r", ["a", "b"], 3, 3),
+    }.items():
+        assert parts[name].columns == alone.columns
+        assert sorted(map(str, parts[name].collect())) == sorted(map(str, alone.collect()))
