@@ -2,13 +2,20 @@
 
 Patterns with a check give the base spans. Loose generators propose further spans, which overlap each other
 and the base spans. Format and context features of the candidates are small numbers, so candidates fall into
-a bounded number of cells; boosted trees are fitted on the cells (all candidates count, as weights), with
-overlap with a base span as the label. The threshold for each generator is calibrated on the candidates of
-all documents: the lowest score from which on the demanded share is right. Cells above it are redacted too.
+a bounded number of cells; boosted trees are fitted on the cells (candidates count as weights), with
+overlap with a base span as the label. The threshold for each generator is calibrated on a share of the documents,
+by the hash of their id, that the trees have not seen: the lowest score from which on the demanded share of their
+candidates is right. Cells above it are redacted too.
+
+A text may hold any number of hits: the time grows with the text and its hits, not with their product.
+Arrays that lambdas look things up in are bound once (``_let``), running sums go in runs, and pieces of a text are
+taken from blocks of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -38,10 +45,60 @@ CONTEXT = 24
 #: Candidates above the threshold are right in this share of all cases.
 PRECISION = 0.95
 TREES, DEPTH = 8, 3
+#: One document in so many is kept from the trees and sets the thresholds.
+HELD_OUT = 4
+#: Elements of an array that are added up in one go, and code points of a block of text.
+RUN, BLOCK = 128, 512
 
 _SPAN = "array<struct<start:bigint,end:bigint,hit:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside lambdas of ``body`` it would be computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running sums (or maxima) of an array of bigint from 0 up.
+
+    Appending copies an array, so runs of ``RUN`` elements are added up apart and then moved by what came before.
+    """
+    none = F.array().cast("array<bigint>")
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("bigint"))
+    added = lambda a: F.aggregate(a, none, lambda acc, x: F.array_append(acc, combine(last(acc), x)))
+
+    def runs(a: Column) -> Column:
+        places = F.sequence(F.lit(0), ((F.size(a) - 1) / RUN).cast("int"))
+        return F.transform(places, lambda i: added(F.slice(a, i * RUN + 1, RUN)))
+
+    def moved(each: Column) -> Column:
+        before = added(F.transform(each, last))
+        zero = F.lit(0).cast("bigint")
+        return _let(
+            before,
+            lambda b: F.flatten(F.transform(each, lambda r, i: F.transform(r, lambda x: combine(F.coalesce(F.get(b, i - 1), zero), x)))),
+        )
+
+    return _let(values, lambda a: _let(runs(a), moved))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _blocks(text: Column) -> Column:
+    """``text`` in blocks of ``BLOCK`` code points; a place in a string is only found by walking from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points from ``start`` to ``end`` of the text the blocks are of."""
+    first = F.floor(start / BLOCK).cast("int")
+    count = F.floor((end - 1) / BLOCK).cast("int") - first + 1
+    part = F.array_join(F.slice(blocks, first + 1, count), "")
+    return F.substring(part, (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))
+
+
 def _found(text: Column, pattern: str, possible: Column) -> Column:
     """All matches with their places (code points), left to right.
 
@@ -49,18 +106,18 @@ def _found(text: Column, pattern: str, possible: Column) -> Column:
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
+    paired = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("length"), h.alias("hit")))
+    paired = F.filter(paired, lambda p: p["hit"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(
-            end.cast("bigint").alias("at"),
-            F.array_append(acc["spans"], F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), x["hit"].alias("hit"))).alias("spans"),
-        )
+    def placed(pairs: Column) -> Column:
+        ends = _running(F.transform(pairs, lambda p: (p["gap"] + p["length"]).cast("bigint")), _plus)
+
+        def span(p: Column, end: Column) -> Column:
+            return F.struct((end - p["length"]).alias("start"), end.alias("end"), p["hit"].alias("hit"))
+
+        return F.zip_with(pairs, ends, span)
 
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
-    paired = F.transform(hits, lambda h, i: F.struct(F.element_at(gaps, i + 1).alias("gap"), h.alias("hit")))
-    return F.when(possible, F.aggregate(paired, empty, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+    return F.when(possible, _let(paired, placed).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(hit: Column) -> Column:
@@ -93,8 +150,8 @@ def _as_spans(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def base_spans(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds an array column of ``(start, end, hit)`` for each of ``KINDS``."""
+def base_spans(text: Column) -> list[Column]:
+    """An array column of ``(start, end, hit)`` named after each of ``KINDS``."""
     possible = {
         "email": text.contains("@"),
         "ip": text.rlike(r"[0-9]\.[0-9]"),
@@ -102,9 +159,7 @@ def base_spans(docs: DataFrame, text: Column) -> DataFrame:
         "phone": text.contains("+"),
     }
     patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
-    for kind in KINDS:
-        docs = docs.withColumn(f"__{kind}", _checked(kind, _found(text, patterns[kind], possible[kind])))
-    return docs
+    return [_checked(kind, _found(text, patterns[kind], possible[kind])).alias(kind) for kind in KINDS]
 
 
 def _bucket(value: Column, *edges: int) -> Column:
@@ -125,10 +180,10 @@ def _side(character: Column) -> Column:
 FEATURES = {"generator": 3, "length": 4, "digits": 5, "marks": 4, "plus": 2, "check": 2, "before": 5, "after": 5, "cue": 2}
 
 
-def _features(text: Column, generator: int, span: Column) -> dict[str, Column]:
+def _features(blocks: Column, generator: int, span: Column) -> dict[str, Column]:
     hit = span["hit"]
     digits = _digits(hit)
-    before = F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(span["start"], F.lit(CONTEXT)).cast("int"))
+    before = _cut(blocks, F.greatest(span["start"] - CONTEXT, F.lit(0)), span["start"])
     check = (F.length(digits).between(16, 19) & _luhn(digits)) | (hit.rlike(r"\.[A-Za-z]{2,}$"))
     return {
         "generator": F.lit(generator),
@@ -138,7 +193,7 @@ def _features(text: Column, generator: int, span: Column) -> dict[str, Column]:
         "plus": F.when(hit.contains("+") | hit.contains("@"), 1).otherwise(0),
         "check": F.when(check, 1).otherwise(0),
         "before": _side(F.substring(before, -1, 1)),
-        "after": _side(F.substring(text, (span["end"] + 1).cast("int"), F.lit(1))),
+        "after": _side(_cut(blocks, span["end"], span["end"] + 1)),
         "cue": F.when(before.rlike(CUES), 1).otherwise(0),
     }
 
@@ -150,47 +205,76 @@ def _cell(features: dict[str, Column]) -> Column:
     return cell.cast("int")
 
 
-def _described(text: Column, n: int, kind: str) -> Column:
-    def candidate(s: Column) -> Column:
-        overlap = F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        cell = _cell(_features(text, n, s)).alias("cell")
+def _counted(places: Column, at: Column, inclusive: bool) -> Column:
+    """For each of the ascending, different places ``at``: how many of ``places`` lie before it (or at it)."""
+    event = lambda n: lambda x: F.struct(x.alias("at"), F.lit(n ^ inclusive).alias("side"), F.lit(n).cast("bigint").alias("n"))
+    events = F.array_sort(F.concat(F.transform(places, event(1)), F.transform(at, event(0))))
+
+    def counts(all_events: Column) -> Column:
+        sums = _running(F.transform(all_events, lambda e: e["n"]), _plus)
+        each = F.zip_with(all_events, sums, lambda e, s: F.struct(e["n"].alias("n"), s.alias("s")))
+        return F.transform(F.filter(each, lambda e: e["n"] == 0), lambda e: e["s"])
+
+    return _let(events, counts)
+
+
+def _described(found: Column, base: Column, blocks: Column, n: int, kind: str) -> Column:
+    """Candidates with cell and label. More base spans begin before a candidate's end than end by its start
+    exactly if one of them overlaps it."""
+    begun = _counted(F.transform(base, lambda b: b["start"]), F.transform(found, lambda s: s["end"]), False)
+    over = _counted(F.transform(base, lambda b: b["end"]), F.transform(found, lambda s: s["start"]), True)
+    overlaps = F.zip_with(begun, over, lambda a, b: a > b)
+
+    def candidate(s: Column, overlap: Column) -> Column:
+        cell = _cell(_features(blocks, n, s)).alias("cell")
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), cell, overlap.alias("label"))
 
-    return F.transform(f"__loose_{kind}", candidate)
+    return F.zip_with(found, overlaps, candidate)
 
 
 def _chosen(cells: list[int]) -> Column:
     if not cells:
-        return F.filter("__candidates", lambda c: F.lit(False))
-    return F.filter("__candidates", lambda c: ~c["label"] & c["cell"].isin(cells))
+        return F.filter("candidates", lambda c: F.lit(False))
+    return F.filter("candidates", lambda c: ~c["label"] & c["cell"].isin(cells))
 
 
-def candidates(docs: DataFrame, text: Column) -> DataFrame:
-    """Adds ``__candidates``: array of ``(kind, start, end, cell, label)`` of the loose generators; the label
-    says whether a base span overlaps."""
-    base = F.concat(*[F.col(f"__{k}") for k in KINDS])
-    docs = docs.withColumn("__base", F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+_CANDIDATE = "array<struct<kind:string,start:bigint,end:bigint,cell:int,label:boolean>>"
+
+
+def candidates(text: Column) -> Column:
+    """Array of ``(kind, start, end, cell, label)`` of the loose generators, made from ``text`` and the columns of
+    :func:`base_spans`; the label says whether a base span overlaps."""
+    base = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
     possible = {
         "contact": text.contains("@") | text.contains("(at)") | text.contains("[at]"),
         "dotted": text.rlike(r"[0-9]\x20?\."),
         "number": text.rlike("[0-9][\x20().0-9-]{5}"),
     }
-    made = []
-    for n, (kind, pattern) in enumerate(LOOSE.items()):
-        docs = docs.withColumn(f"__loose_{kind}", _found(text, pattern, possible[kind]))
 
-        made.append(_described(text, n, kind))
-    docs = docs.withColumn("__candidates", F.concat(*made))
-    return docs.drop("__base", *[f"__loose_{k}" for k in LOOSE])
+    def made(kind: str, n: int, pattern: str) -> Column:
+        def described(found: Column) -> Column:
+            seen = F.struct(base.alias("base"), _blocks(text).alias("blocks"))
+            each = _let(seen, lambda x: _described(found, x["base"], x["blocks"], n, kind))
+            return F.when(F.size(found) > 0, each.cast(_CANDIDATE)).otherwise(F.array().cast(_CANDIDATE))
+
+        return _let(_found(text, pattern, possible[kind]), described)
+
+    return F.concat(*[made(kind, n, pattern) for n, (kind, pattern) in enumerate(LOOSE.items())]).alias("candidates")
 
 
 def chosen_cells(found: DataFrame, precision: float = PRECISION) -> list[int]:
     """Cells of candidates to redact besides the base spans; at most as many as ``FEATURES`` allow.
 
-    ``found`` has the candidates of all documents. Empty if labels do not differ.
+    ``found`` has ``id`` and the candidates of all documents. Empty if labels do not differ among those the trees
+    may see, or if there are no others to calibrate on.
     """
-    each = found.select(F.explode("__candidates").alias("c"))
-    cells = each.groupBy(F.col("c.cell").alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.label").cast("bigint")).alias("right"))
+    held = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(HELD_OUT)) == 0
+    each = found.select(held.alias("held"), F.explode("candidates").alias("c"))
+    count = lambda what: F.coalesce(F.sum(F.when(what, 1)), F.lit(0)).cast("bigint")
+    seen, right = ~F.col("held"), F.col("c.label")
+    cells = each.groupBy(F.col("c.cell").alias("cell")).agg(
+        count(seen).alias("n"), count(seen & right).alias("right"), count(~seen).alias("held_n"), count(~seen & right).alias("held_right")
+    )
     # bounded by the product of FEATURES: one partition is enough
     cells = stage(cells.coalesce(1), "cells")
     total = cells.agg(F.sum("n").alias("n"), F.sum("right").alias("right")).first()
@@ -200,7 +284,7 @@ def chosen_cells(found: DataFrame, precision: float = PRECISION) -> list[int]:
     for name, size in reversed(FEATURES.items()):
         values.append((left % size).cast("double").alias(name))
         left = F.floor(left / size)
-    described = cells.select("cell", "n", "right", *values)
+    described = cells.select("cell", "n", "right", "held_n", "held_right", *values)
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described)
     sides = F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("right").cast("double").alias("weight")),
@@ -209,14 +293,14 @@ def chosen_cells(found: DataFrame, precision: float = PRECISION) -> list[int]:
     training = assembled.select("features", F.explode(sides).alias("s")).select("features", "s.label", "s.weight").filter("weight > 0")
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, weightCol="weight", seed=7, featuresCol="features")
     model = trees.fit(stage(training.coalesce(1), "training"))
-    scored = model.transform(assembled).select("cell", "generator", "n", "right", vector_to_array("probability")[1].alias("score")).collect()
+    scored = model.transform(assembled).select("cell", "generator", "held_n", "held_right", vector_to_array("probability")[1].alias("score")).collect()
     chosen: list[int] = []
     for generator in range(len(LOOSE)):
         own = sorted((r for r in scored if r["generator"] == generator), key=lambda r: (-r["score"], r["cell"]))
         n = right = best = 0
         for i, r in enumerate(own):
-            n, right = n + r["n"], right + r["right"]
-            if right >= precision * n:
+            n, right = n + r["held_n"], right + r["held_right"]
+            if n and right >= precision * n:
                 best = i + 1
         chosen += [r["cell"] for r in own[:best]]
     return sorted(chosen)
@@ -229,42 +313,55 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an added span overlaps no base span. Places are code points, ends exclusive. Null and empty texts have
     empty arrays; repeated rows come out repeatedly; other columns are ignored.
     """
-    text = F.col("__text")
-    source = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("__text"))
-    found = candidates(base_spans(source, text), text)
-    plain = [F.transform(f"__{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
-    found = stage(found.select(F.col(id_col), *plain, "__candidates"), "candidates")
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    found = _with_candidates(source, "id")
     cells = chosen_cells(found, precision)
     added = F.transform(_chosen(cells), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return found.select(id_col, *KINDS, added.alias("added"))
+    return found.select(F.col("id").alias(id_col), *KINDS, added.alias("added"))
+
+
+def _with_candidates(source: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, the base spans (without their text) and the candidates of ``text``, staged."""
+    found = source.select(*source.columns, *base_spans(F.col("text")))
+    plain = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS]
+    return stage(found.select(*keep, *plain, candidates(F.col("text"))), "candidates")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the base spans of ``text_col`` replaced by ``<email>``, ``<ip>`` and so on.
 
     Spans of different kinds may overlap: one that begins inside an earlier one is redacted with it. Null
-    texts stay null; all other columns and rows are kept.
+    texts stay null; all other columns and rows are kept, whatever their names.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = candidates(base_spans(docs, text), text)
-    found = stage(found, "to_redact")
+    # columns travel under numbers, so that no name can clash or need quotes
+    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    raw = F.col(f"c{docs.columns.index(text_col)}")
+    source = numbered.select("*", F.coalesce(raw, F.lit("")).alias("text"), F.col(f"c{docs.columns.index(id_col)}").alias("id"))
+    found = _with_candidates(source, *numbered.columns, "text", "id")
     cells = chosen_cells(found)
-    spans = [_as_spans(k, F.col(f"__{k}")) for k in KINDS]
+    spans = [_as_spans(k, F.col(k)) for k in KINDS]
     spans.append(F.transform(_chosen(cells), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
-    ordered = F.array_sort(F.concat(*spans))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.concat(acc["out"], gap, F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"),
-        )
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    tail = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1)))
-    clean = F.when(F.size(ordered) > 0, F.aggregate(ordered, start, step, tail)).otherwise(F.col(text_col))
-    return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    def pieces(ordered: Column) -> Column:
+        return _let(_running(F.transform(ordered, lambda s: s["end"]), F.greatest), lambda reach: rest(ordered, reach))
+
+    def rest(ordered: Column, reach: Column) -> Column:
+        def piece(blocks: Column) -> Callable[[Column, Column], Column]:
+            def of(s: Column, i: Column) -> Column:
+                at = F.coalesce(F.get(reach, i - 1), F.lit(0).cast("bigint"))
+                return F.when(s["start"] >= at, F.concat(_cut(blocks, at, s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
+
+            return of
+
+        def whole(blocks: Column) -> Column:
+            tail = _cut(blocks, F.element_at(reach, -1), (F.size(blocks) * BLOCK).cast("bigint"))
+            return F.concat(F.array_join(F.transform(ordered, piece(blocks)), ""), tail)
+
+        return _let(_blocks(F.col("text")), whole)
+
+    clean = F.when(F.size(F.col("ordered")) > 0, _let(F.col("ordered"), pieces)).otherwise(raw)
+    found = found.withColumn("ordered", F.array_sort(F.concat(*spans)))
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def joined(kind: str | None, spans: Column) -> Column:

@@ -62,3 +62,37 @@ def test_redaction(spark, documents):
 def test_empty_table(spark, documents):
     none = documents((1, "a")).filter("doc_id > 1")
     assert personal_data(none).count() == 0 and redact(none).count() == 0
+
+
+def test_many_hits_in_one_text(spark, documents):
+    text = "".join(f"🙂 mail u{i}@h{i % 7}.org or 10.0.{i % 300}.1\n" for i in range(50_000))
+    docs = documents((1, text), (2, "a@b.co"))
+    found = {r.doc_id: r for r in personal_data(docs).collect()}
+    want = brute_force(text)
+    assert {k: [(s.start, s.end) for s in found[1][k]] for k in KINDS} == want
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert clean[2] == "<email>" and clean[1].count("<email>") == 50_000
+    assert "".join(re.findall(r"(?<=> )or(?= )", clean[1])) == "or" * 50_000
+    assert clean[1].startswith("🙂 mail <email> or <ip>\n🙂 mail <email> or <ip>\n")
+
+
+def test_redaction_equals_brute_force(spark, documents):
+    texts = dict(rows())
+    got = {r.doc_id: r.text for r in redact(documents(*texts.items())).collect()}
+    spans_of = {r.doc_id: r for r in personal_data(documents(*texts.items())).collect()}
+    for doc_id, text in texts.items():
+        spans = sorted([(s.start, s.end, k) for k in KINDS for s in spans_of[doc_id][k]] + [(s.start, s.end, s.kind) for s in spans_of[doc_id].added])
+        out, at = "", 0
+        for start, end, kind in spans:
+            if start >= at:
+                out += text[at:start] + f"<{kind}>"
+            at = max(at, end)
+        assert got[doc_id] == (None if text is None else out + text[at:])
+
+
+def test_any_column_names(spark):
+    names = ["doc_id", "text", "id", "email", "candidates", "c0", "__base", "a.b", "ordered"]
+    docs = spark.createDataFrame([(1, "to a@b.co", *"pqrstuv")], names)
+    got = redact(docs)
+    assert got.columns == names and tuple(got.first()) == (1, "to <email>", *"pqrstuv")
+    assert personal_data(docs).first().doc_id == 1
