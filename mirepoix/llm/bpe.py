@@ -30,6 +30,8 @@ PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}
 
 #: Entries a worker remembers before it starts anew.
 REMEMBERED = 500_000
+#: Pieces an encoder remembers of each kind.
+PIECES = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,12 +60,12 @@ def spaced(rest: str) -> str:
 class Memo(dict):
     """A dictionary that makes missing values by ``make``, and forgets all when it has grown large."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int = REMEMBERED):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
         return value
@@ -288,20 +290,20 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.any_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        ids = self._ids(path)
-        self.pieces = Memo(lambda piece: _packed(ids(piece)))
-        self.spaced = Memo(lambda rest: _packed(ids(spaced(rest))))
+        ids = self._ids(path, tokenizer)
+        self.pieces = Memo(lambda piece: _packed(ids(piece)), PIECES)
+        self.spaced = Memo(lambda rest: _packed(ids(spaced(rest))), PIECES)
 
-    def _ids(self, path: str) -> Callable[[str], list[int]]:
+    def _ids(self, path: str, tokenizer: Tokenizer) -> Callable[[str], list[int]]:
         transducer = Transducer(path)
         by_id = sorted(transducer.made.items())
         if [rank for _, rank in by_id] == list(range(len(by_id))) and len(by_id) + 256 == len(transducer.id_of):
             coded = tiktoken.Encoding(path, pat_str=PRETOKEN.pattern, mergeable_ranks=transducer.id_of, special_tokens={})
             return coded.encode_ordinary
-        return lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         for text in texts:

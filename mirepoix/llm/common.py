@@ -66,17 +66,21 @@ def map_texts(
             columns = [batch.column(i) for i in range(n_kept)]
             for values, field in zip(values_of, list(arrow)[n_kept:], strict=True):
                 columns.append(pa.array(values, type=field.type))
+            del texts, values_of
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
             )
+            # workers outlive the stage: what a batch took goes back before the next one
+            pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, out).toDF(*keep, *made.names)
 
 
 # --- words and shingles --------------------------------------------------------------------------
 
+#: Words a worker remembers before it starts anew, some 200 bytes each.
+_WORDS_MOST = 200_000
 _WORDS: dict[bytes, int] = {}
-_WORDS_MOST = 1_000_000
 
 
 def word_hashes(text: str | None) -> np.ndarray:

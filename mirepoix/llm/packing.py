@@ -55,7 +55,6 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[Pattern]:
 
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        placed: list[tuple[int, Pattern]] = []
         while left:
             if rooms and rooms[-1] >= length:
                 room = rooms[-1]
@@ -70,7 +69,6 @@ def shortest_pack_first(histogram: dict[int, int], size: int) -> list[Pattern]:
                 put(room, Pattern(pattern.lengths, pattern.count - n))
             put(room - length, Pattern((*pattern.lengths, length), n))
             left -= n
-        del placed
     return [p for room in rooms for p in by_room[room]]
 
 
@@ -93,6 +91,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, siz
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
