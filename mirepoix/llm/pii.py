@@ -335,10 +335,10 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     # columns travel under numbers, so that no name can clash or need quotes
     numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    raw = F.col(f"c{docs.columns.index(text_col)}")
-    source = numbered.select("*", F.coalesce(raw, F.lit("")).alias("text"), F.col(f"c{docs.columns.index(id_col)}").alias("id"))
-    found = _with_candidates(source, *numbered.columns, "text", "id")
-    cells = chosen_cells(found)
+    raw, own = F.col(f"c{docs.columns.index(text_col)}"), f"c{docs.columns.index(id_col)}"
+    text = F.coalesce(raw, F.lit(""))
+    found = _with_candidates(numbered.withColumn("text", text), *numbered.columns)
+    cells = chosen_cells(found.select(F.col(own).alias("id"), "candidates"))
     spans = [_as_spans(k, F.col(k)) for k in KINDS]
     spans.append(F.transform(_chosen(cells), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
 
@@ -357,7 +357,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             tail = _cut(blocks, F.element_at(reach, -1), (F.size(blocks) * BLOCK).cast("bigint"))
             return F.concat(F.array_join(F.transform(ordered, piece(blocks)), ""), tail)
 
-        return _let(_blocks(F.col("text")), whole)
+        return _let(_blocks(text), whole)
 
     clean = F.when(F.size(F.col("ordered")) > 0, _let(F.col("ordered"), pieces)).otherwise(raw)
     found = found.withColumn("ordered", F.array_sort(F.concat(*spans)))
