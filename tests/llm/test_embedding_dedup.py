@@ -39,6 +39,51 @@ def test_recall_and_precision(spark):
     assert got.keys() == want.keys() and total > 100
     assert all(got[i].n_links <= len(want[i]) for i in want)
     assert sum(r.n_links for r in got.values()) >= 0.9 * total
+    reach = smallest_reachable(want)
+    assert all(got[i].component_id >= reach[i] for i in want)
+
+
+def smallest_reachable(links):
+    out = {}
+    for start in sorted(links):
+        left = [start] if start not in out else []
+        while left:
+            i = left.pop()
+            if i not in out:
+                out[i] = start
+                left += links[i]
+    return out
+
+
+@pytest.mark.parametrize("dim", [8, 64])
+def test_recall_at_the_threshold(spark, dim):
+    """Pairs of cosine 0.981, and a group of near copies that holds a third of all rows."""
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(400, dim))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    away = draw.normal(size=base.shape)
+    away -= (away * base).sum(axis=1, keepdims=True) * base
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    close = 0.981 * base + math.sqrt(1 - 0.981**2) * away
+    around = draw.normal(size=dim) + 0.1 * draw.normal(size=(400, dim))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, close, around]).astype(np.float32))]
+    want, got = brute_force(rows), table(spark, rows)
+    assert all(got[i].n_links <= len(want[i]) for i in want)
+    apart = [i for i in want if i < 800]
+    assert sum(got[i].n_links for i in apart) >= 0.9 * sum(len(want[i]) for i in apart) > 300
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(map(len, want.values()))
+
+
+def test_blocks_count_a_pair_once(spark, monkeypatch):
+    monkeypatch.setattr("mirepoix.llm.embedding_dedup.BLOCK", 7)
+    draw = np.random.default_rng(3)
+    vectors = draw.normal(size=16) + 0.02 * draw.normal(size=(60, 16))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors.astype(np.float32))]
+    want = brute_force(rows)
+    got = table(spark, rows)
+    assert {i: r.n_links for i, r in got.items()} == {i: len(x) for i, x in want.items()}
+    assert {i: r.component_id for i, r in got.items()} == smallest_reachable(want)
+
 
 
 def test_copies_count_their_links(spark):
