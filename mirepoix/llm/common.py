@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.R
             yield batch.slice(a, b - a)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Returns free memory to the system. Workers outlive their stage, and Arrow's pool and the C library's heap
+    both keep what the longest text took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def map_texts(
     df: DataFrame, text: str, keep: list[str], rows: Callable[[list], Iterator[tuple]], schema: str
 ) -> DataFrame:
@@ -70,8 +82,7 @@ def map_texts(
             yield pa.RecordBatch.from_arrays(
                 [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
             )
-            # workers outlive the stage: what a batch took goes back before the next one
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return kept.mapInArrow(run, out).toDF(*keep, *made.names)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirepoix.llm.bpe import encoder
-from mirepoix.llm.common import small_batches
+from mirepoix.llm.common import give_back, small_batches
 from mirepoix.sources import stage
 
 #: About so many pieces are ranked together in a task.
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, siz
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
