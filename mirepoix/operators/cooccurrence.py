@@ -3,7 +3,8 @@
 Pairs are generated inside recipes, so the size of a recipe matters, not the number of its rows:
 repeats are removed first. Pairs are never written out or shuffled as such; the map task that produces
 them adds them up, and only edge counts move. Recipes of more than ``block_rows`` ingredients are cut
-into blocks that different tasks pair up.
+into blocks that different tasks pair up. Rows and pairs are counted first, which gives the number of tasks: none
+holds more of them because the tables are larger.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mirepoix.operators.placement import TASK_ROWS, tasks_for
+
 #: Ingredients of a recipe that are paired in one task; larger recipes are cut into blocks.
 BLOCK_ROWS = 1000
 
@@ -30,8 +33,19 @@ def top_n_ingredients(
     return rows.join(top, ingredient, "left_semi").select(recipe, ingredient)
 
 
-def _pairs_across_blocks(rows: DataFrame, recipe: str, ingredient: str, block_rows: int) -> DataFrame:
+def _distinct_rows(df: DataFrame, recipe: str, ingredient: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Distinct (recipe, ingredient) rows, dealt to as many tasks as the rows need."""
+    rows = df.select(recipe, ingredient)
+    return rows.repartition(tasks_for(rows.count(), task_rows), recipe, ingredient).distinct()
+
+
+def _pairs_across_blocks(
+    rows: DataFrame, recipe: str, ingredient: str, block_rows: int, task_rows: int = TASK_ROWS
+) -> DataFrame:
     """Pairs of each recipe, which is cut into blocks; every two blocks are joined on their own."""
+    n = F.col("n").cast("double")
+    n_pairs = rows.groupBy(recipe).agg(F.count(F.lit(1)).alias("n")).agg(F.sum(n * (n - 1) / 2)).first()[0]
+    tasks = tasks_for(n_pairs, task_rows)
     sizes = rows.groupBy(recipe).agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("__blocks"))
     block = F.pmod(F.xxhash64(ingredient), F.col("__blocks")).cast("int")
     placed = rows.join(sizes, recipe).withColumn("__block", block)
@@ -47,6 +61,7 @@ def _pairs_across_blocks(rows: DataFrame, recipe: str, ingredient: str, block_ro
         F.explode(F.sequence(F.lit(0), F.col("__block"))).alias("__i"),
         F.col("__block").alias("__j"),
     )
+    first, second = (side.repartition(tasks, recipe, "__i", "__j") for side in (first, second))
     met = first.join(second.hint("merge"), [recipe, "__i", "__j"]).filter("__i < __j OR __a < __b")
     return met.select(
         F.least("__a", "__b").alias("ORIGIN"), F.greatest("__a", "__b").alias("DESTINATION")
@@ -60,7 +75,7 @@ def cooccurrence_counts(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Undirected edges ORIGIN < DESTINATION with N_RECIPES, the recipes that hold both."""
-    rows = df.select(recipe, ingredient).distinct()
+    rows = _distinct_rows(df, recipe, ingredient)
     pairs = _pairs_across_blocks(rows, recipe, ingredient, block_rows)
     return pairs.groupBy("ORIGIN", "DESTINATION").agg(F.count(F.lit(1)).alias("N_RECIPES"))
 
@@ -104,8 +119,7 @@ def ingredient_pmi(
     """Edges with P, 1/P and pointwise mutual information, log2(P(o,d) / (P(o) P(d)))."""
     n_recipes = _n_recipes(df, recipe)
     single = (
-        df.select(recipe, ingredient)
-        .distinct()
+        _distinct_rows(df, recipe, ingredient)
         .groupBy(ingredient)
         .agg((F.count(F.lit(1)) / n_recipes).alias("__p"))
     )

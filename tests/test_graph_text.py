@@ -112,3 +112,12 @@ def test_names_with_lemmas(spark):
     )
     lemmas = spark.createDataFrame([("tomatoes", "tomato")], "word string, lemma string")
     assert text.ingredient_names(df, lemmas).head().NAME == "diced ripe tomato"
+
+
+def test_rows_and_pairs_are_dealt_by_their_number(spark):
+    df = spark.createDataFrame([(r, i) for r in range(30) for i in range(10)], "ID_RECIPE int, ID_INGREDIENT int")
+    rows_ = cooccurrence._distinct_rows(df, "ID_RECIPE", "ID_INGREDIENT", task_rows=20)
+    assert rows_.rdd.getNumPartitions() == 15
+    # 30 recipes with 45 pairs each
+    pairs = cooccurrence._pairs_across_blocks(rows_, "ID_RECIPE", "ID_INGREDIENT", 1000, task_rows=50)
+    assert pairs.rdd.getNumPartitions() == 27 and pairs.count() == 30 * 45
