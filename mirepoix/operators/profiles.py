@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.operators.activity import group_count
+from mirepoix.operators.placement import Placement, open_lists, place_users
 from mirepoix.operators.skew import salted_join
 
 def nutrient_columns(df: DataFrame, keys: Sequence[str] = ("RECIPE_ID", "USER_ID")) -> list[str]:
@@ -62,26 +63,31 @@ def ingredient_profile(
     recipe: str = "RECIPE_ID",
     user: str = "USER_ID",
     ingredient: str = "ID_INGREDIENT",
+    place: Placement | None = None,
 ) -> DataFrame:
     """How often an ingredient occurs over the user's recipes, plain and IDF-weighted (4 decimals).
 
     The IDF is attached to the ingredient rows before they fan out to users, the smaller of the two
-    places it could be joined. ``relative`` adds the frequency per recipe of the user.
+    places it could be joined. ``relative`` adds the frequency per recipe of the user. With ``place`` the rows stay
+    where it deals them, with the shard of a heavy user as a column.
     """
     weighted = salted_join(ingredients.select(recipe, ingredient), idf, [ingredient], spread=[recipe])
-    pairs = salted_join(interactions.select(user, recipe), weighted, [recipe], spread=[user], fan_out=True)
-    profile = pairs.groupBy(user, ingredient).agg(
-        F.count(F.lit(1)).alias("ABSOLUTE_FREQUENCY"), F.max("IDF").alias("__idf")
-    )
+    pairs = interactions.select(user, recipe)
+    dealt = place or place_users(pairs, ingredients, recipe, user)
+    if relative:
+        # on the pairs, of which there are far fewer than rows of the profile
+        pairs = salted_join(pairs, group_count(pairs, [user], "__n"), [user], spread=[recipe])
+    rows = open_lists(pairs, weighted, dealt, recipe, user, ingredient)
+    counted = [F.count(F.lit(1)).alias("ABSOLUTE_FREQUENCY"), F.max("IDF").alias("__idf")]
+    if relative:
+        counted.append(F.max("__n").alias("__n"))
+    profile = rows.groupBy(*dealt.keys(user), ingredient).agg(*counted)
     columns = [
-        user,
+        *(dealt.keys(user) if place else [user]),
         ingredient,
         "ABSOLUTE_FREQUENCY",
         F.round(F.col("ABSOLUTE_FREQUENCY") * F.col("__idf"), 4).alias("N_IDF"),
     ]
-    if not relative:
-        return profile.select(*columns)
-    n_recipes = group_count(interactions, [user], "__n")
-    return salted_join(profile, n_recipes, [user], spread=[ingredient]).select(
-        *columns, (F.col("ABSOLUTE_FREQUENCY") / F.col("__n")).alias("RELATIVE_FREQUENCY")
-    )
+    if relative:
+        columns.append((F.col("ABSOLUTE_FREQUENCY") / F.col("__n")).alias("RELATIVE_FREQUENCY"))
+    return profile.select(*columns)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mirepoix.functions import cosine, l2_norm, minmax_scale, rating_round, steady
+from mirepoix.operators.placement import ASKED, HITS, Placement, meet, open_lists, place_users
 from mirepoix.operators.profiles import nutrient_columns
 from mirepoix.operators.skew import heavy_keys, salted_join
 
@@ -28,11 +30,13 @@ def nutrition_similarity(
     recipe: str = "RECIPE_ID",
     user: str = "USER_ID",
     name: str = "NUTRITION_SIMILARITY",
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """``pairs`` plus the cosine of the user's nutrition profile and the recipe's nutrition.
 
     0 for a recipe without nutrition, null where either vector has no length or the user no profile.
-    Vector lengths are computed once per user and per recipe, not per pair.
+    Vector lengths are computed once per user and per recipe, not per pair. ``counted`` is a table with the same
+    pairs to look for heavy keys in, for when ``pairs`` would have to be computed again for that.
     """
     nutrients = nutrient_columns(nutrition)
     theirs = [F.col(f"__u_{c}") for c in nutrients]
@@ -45,8 +49,11 @@ def nutrition_similarity(
             l2_norm([F.col(c) for c in nutrients]).alias(f"__{tag}_norm"),
         )
 
-    wide = salted_join(pairs, vectors(nutrition, recipe, "r"), [recipe], "left", spread=[user])
-    heavy_users = heavy_keys(pairs.select(user), [user])
+    counted = pairs if counted is None else counted
+    heavy_recipes, heavy_users = (heavy_keys(counted.select(key), [key]) for key in (recipe, user))
+    wide = salted_join(
+        pairs, vectors(nutrition, recipe, "r"), [recipe], "left", spread=[user], heavy=heavy_recipes
+    )
     wide = salted_join(
         wide, vectors(profile, user, "u"), [user], "left", spread=[recipe], heavy=heavy_users
     )
@@ -66,36 +73,39 @@ def ingredient_similarity(
     recipe: str = "RECIPE_ID",
     user: str = "USER_ID",
     ingredient: str = "ID_INGREDIENT",
+    place: Placement | None = None,
 ) -> DataFrame:
     """``pairs`` (distinct) plus, per weight, the cosine of the profile and the recipe's ingredients.
 
     A recipe is the vector with 1 at each of its ingredients, so the product is the sum of the user's
-    weights over them: a join on (user, ingredient) and one sum for all weights. 0 for a recipe
-    without ingredients, null for a user whose profile has no length.
+    weights over them. 0 for a recipe without ingredients, null for a user whose profile has no length.
+    ``place`` is where ``profile`` has been dealt: then it is not shuffled again.
     """
-    heavy_users = heavy_keys(pairs.select(user), [user])
-    listed = salted_join(
-        pairs, ingredients.select(recipe, ingredient), [recipe], "left", spread=[user], fan_out=True
-    )
-    listed = salted_join(
-        listed,
-        profile.select(user, ingredient, *[w for w, _ in weights]),
-        [user, ingredient],
-        "left",
-        spread=[recipe],
-        heavy=heavy_users,
-    )
-    products = listed.groupBy(*pairs.columns).agg(
-        F.count(ingredient).alias("__size"),
-        *[F.coalesce(F.sum(w), F.lit(0)).cast("double").alias(f"__dot_{w}") for w, _ in weights],
+    dealt = place or place_users(pairs, ingredients, recipe, user)
+    keys = dealt.keys(user)
+    learnt = dealt.tag(profile, user, ingredient)
+    if place is None:
+        learnt = dealt.deal(learnt, user)
+    listed = open_lists(pairs, ingredients.select(recipe, ingredient), dealt, recipe, user, ingredient, "left")
+    met = meet(learnt, listed, keys, ingredient, [w for w, _ in weights])
+
+    def square(weight: str):
+        return F.when(~F.col(ASKED), F.col(weight).cast("double") * F.col(weight).cast("double"))
+
+    # a user's own row, with the lengths, comes before the user's pairs
+    products = met.groupBy(ASKED, *pairs.columns).agg(
+        F.sum(F.when(F.col(ingredient).isNotNull(), F.greatest(F.col(HITS), F.lit(1)))).alias("__size"),
+        *[F.coalesce(F.sum(f"__sum_{w}"), F.lit(0)).cast("double").alias(f"__dot_{w}") for w, _ in weights],
+        *[F.sqrt(F.sum(square(w))).alias(f"__own_{w}") for w, _ in weights],
     )
-    norms = profile.groupBy(user).agg(
-        *[
-            F.sqrt(F.sum(F.col(w).cast("double") * F.col(w).cast("double"))).alias(f"__norm_{w}")
-            for w, _ in weights
-        ]
-    )
-    scored = salted_join(products, norms, [user], "left", spread=[recipe], heavy=heavy_users)
+    so_far = W.partitionBy(user).orderBy(ASKED).rowsBetween(W.unboundedPreceding, W.currentRow)
+    norms = [
+        F.when(F.col(user).isNotNull(), F.max(f"__own_{w}").over(so_far)).alias(f"__norm_{w}") for w, _ in weights
+    ]
+    size = F.coalesce("__size", F.lit(0)).alias("__size")
+    scored = products.select(
+        ASKED, *pairs.columns, size, *[f"__dot_{w}" for w, _ in weights], *norms
+    ).filter(ASKED)
 
     def score(weight: str):
         lengths = F.col(f"__norm_{weight}") * F.sqrt(F.col("__size").cast("double"))
@@ -144,10 +154,14 @@ def similarity_table(
     ingredient_profile: DataFrame,
     recipe: str = "RECIPE_ID",
     user: str = "USER_ID",
+    place: Placement | None = None,
 ) -> DataFrame:
-    """The five similarities of each rated test pair, raw, scaled to 0-5 and rounded to ratings."""
-    scored = ingredient_similarity(test, ingredient_profile, ingredients, recipe=recipe, user=user)
-    scored = nutrition_similarity(scored, nutrition_profile, nutrition, recipe=recipe, user=user)
+    """The five similarities of each rated test pair, raw, scaled to 0-5 and rounded to ratings.
+
+    ``place`` is where ``ingredient_profile`` has been dealt.
+    """
+    scored = ingredient_similarity(test, ingredient_profile, ingredients, recipe=recipe, user=user, place=place)
+    scored = nutrition_similarity(scored, nutrition_profile, nutrition, recipe=recipe, user=user, counted=test)
     full = scaled_similarity(blend(scored))
     order = [*test.columns, *SCORE_NAMES, *[b for b, _ in SCORE_NAMES.values()], *[s for _, s in SCORE_NAMES.values()]]
     return full.select(*order)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mirepoix.operators import ingest, profiles, sampling, similarity
 from mirepoix.operators.activity import group_count, user_stats
+from mirepoix.operators.placement import Placement, place_users
 from mirepoix.sources import stage
 
 
@@ -104,6 +105,15 @@ class ContentRecommender:
     def ingredient_profile(self, relative: bool = False) -> DataFrame:
         return profiles.ingredient_profile(self.training, self.valid_ingredients, self.idf, relative)
 
+    @cached_property
+    def place(self) -> Placement:
+        return place_users(self.training, self.valid_ingredients)
+
+    @cached_property
+    def placed_profile(self) -> DataFrame:
+        """The ingredient profile where ``place`` deals it; larger than any table, so it is not written."""
+        return profiles.ingredient_profile(self.training, self.valid_ingredients, self.idf, place=self.place)
+
     @cached_property
     def similarities(self) -> DataFrame:
         return similarity.similarity_table(
@@ -111,5 +121,6 @@ class ContentRecommender:
             self.valid_nutrition,
             self.valid_ingredients,
             self._keep(self.nutrition_profile(), "nutrition_profile"),
-            self._keep(self.ingredient_profile(), "ingredient_profile"),
+            self.placed_profile,
+            place=self.place,
         )
