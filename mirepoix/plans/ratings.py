@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from mirepoix.operators import propagation, sampling
+from mirepoix.operators.placement import Placement, place_users
 from mirepoix.sources import stage
 
 
@@ -43,10 +44,21 @@ class PropagationRecommender:
     def test(self) -> DataFrame:
         return self.split.filter("SPLIT = 'test'").drop("SPLIT")
 
+    @cached_property
+    def recipe_rows(self) -> DataFrame:
+        """The recipe rows, which are counted and read for training and test."""
+        rows = self.ingredients.select("RECIPE_ID", "ID_INGREDIENT")
+        return stage(rows, "recipe_rows") if self.staged else rows
+
+    @cached_property
+    def place(self) -> Placement:
+        return place_users(self.training, self.recipe_rows)
+
     @cached_property
     def propagated(self) -> DataFrame:
-        return propagation.propagated_ratings(self.training, self.ingredients)
+        return propagation.propagated_ratings(self.training, self.recipe_rows)
 
     @cached_property
     def predictions(self) -> DataFrame:
-        return propagation.propagation_predict(self.test, self.ingredients, self.propagated)
+        learnt = propagation.propagated_ratings(self.training, self.recipe_rows, place=self.place)
+        return propagation.propagation_predict(self.test, self.recipe_rows, learnt, place=self.place)

@@ -150,3 +150,78 @@ def test_split_assets_dedupes(spark):
     reviews = spark.createDataFrame([(100, 5, "b"), (100, 5, "a"), (100, 6, "c"), (200, 7, "d")], "RECIPE_ID int, ID int, t string")
     got = sampling.split_assets(split, {"reviews": (reviews, ["RECIPE_ID", "ID"])})["reviews"]
     assert rows(got) == [(100, 5, "a"), (100, 6, "c")]
+
+
+def exchanged(df):
+    """Columns the plan of ``df`` shuffles by hash, as one line per shuffle."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def placements(spark):
+    from mirepoix.operators.placement import Placement
+
+    shards = spark.createDataFrame([(1, 3)], "USER_ID int, __shards int")
+    return [None, Placement(2), Placement(3, shards)]
+
+
+def test_opened_lists_are_not_shuffled(spark, kitchen):
+    from mirepoix.operators.placement import Placement
+
+    idf = profiles.ingredient_idf(kitchen["recipes"], kitchen["ingredients"])
+    profile = profiles.ingredient_profile(
+        kitchen["training"], kitchen["ingredients"], idf, relative=True, place=Placement(2)
+    )
+    pairs = kitchen["training"].withColumn("RATING", F.lit(4))
+    place = Placement(2)
+    learnt = propagation.propagated_ratings(pairs, kitchen["ingredients"], place=place)
+    predicted = propagation.propagation_predict(pairs, kitchen["ingredients"], learnt, place=place)
+    scored = similarity.ingredient_similarity(pairs, profile, kitchen["ingredients"], place=place)
+    # users with their ingredients as keys: before, every row of the profile went through such a shuffle
+    for df in (profile, learnt, predicted, scored):
+        assert not [e for e in exchanged(df) if "USER_ID" in e and "ID_INGREDIENT" in e]
+
+
+def test_shards_of_a_heavy_user_change_nothing(spark, kitchen):
+    """Pairs with nulls, a user and a recipe nobody knows, a pair twice and an ingredient listed twice."""
+    schema = "USER_ID int, RECIPE_ID int, RATING int"
+    training = spark.createDataFrame(
+        [(1, 100, 2), (1, 101, 4), (1, 102, 5), (2, 100, 1), (None, 100, 3), (2, None, 3), (2, 103, None)], schema
+    )
+    test = spark.createDataFrame(
+        [(1, 102, 4), (1, 103, 1), (1, 999, 1), (2, 101, 5), (2, 101, 5), (9, 102, 3), (None, 100, 2), (1, None, 2)],
+        schema,
+    )
+    listed = kitchen["ingredients"].unionByName(
+        spark.createDataFrame([(102, 7), (101, None)], "RECIPE_ID int, ID_INGREDIENT int")
+    )
+    idf = profiles.ingredient_idf(kitchen["recipes"], listed)
+    seen = []
+    for place in placements(spark):
+        profile = profiles.ingredient_profile(training, listed, idf, place=place)
+        learnt = propagation.propagated_ratings(training, listed, place=place)
+        scored = similarity.ingredient_similarity(test, profile, listed, place=place)
+        predicted = propagation.propagation_predict(test, listed, learnt, place=place)
+        seen.append([rows(df.drop("__part")) for df in (profile, learnt, scored, predicted)])
+    assert seen[0] == seen[1] == seen[2]
+    profile, learnt, scored, predicted = seen[0]
+    assert (1, 7, 4, round(4 * round(math.log10(10 / 4), 4), 4)) in profile
+    assert [r[2] for r in learnt if r[:2] == (2, 9)] == [None]
+    scores = {r[:2]: r[3:] for r in scored}
+    assert scores[1, 999] == scores[1, None] == (0.0, 0.0)
+    assert scores[9, 102] == scores[None, 100] == (None, None)
+    # the pair that stands twice: products and sizes of both add up, as rows of one pair
+    norm = math.sqrt(sum(r[2] ** 2 for r in profile if r[0] == 2))
+    own = {r[1]: r[2] for r in profile if r[0] == 2}
+    assert scores[2, 101][0] == pytest.approx(2 * own[7] / (norm * math.sqrt(2 * 1)))
+    assert {r[:2] for r in predicted} == {(1, 102), (1, 103), (2, 101)}
+
+
+def test_heavy_users_are_cut(spark):
+    from mirepoix.operators.placement import place_users
+
+    pairs = spark.createDataFrame([(1, r) for r in range(50)] + [(2, 1)], "USER_ID int, RECIPE_ID int")
+    listed = spark.createDataFrame([(r, i) for r in range(50) for i in range(4)], "RECIPE_ID int, ID_INGREDIENT int")
+    place = place_users(pairs, listed, task_rows=20, shard_rows=10)
+    assert place.tasks == 11 and rows(place.heavy) == [(1, 5)]
+    assert place_users(pairs, listed).heavy is None and place_users(pairs.limit(0), listed).tasks == 1
