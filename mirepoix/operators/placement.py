@@ -78,10 +78,18 @@ def place_users(
     user: str = "USER_ID",
     task_rows: int = TASK_ROWS,
     shard_rows: int | None = None,
+    lists: DataFrame | None = None,
 ) -> Placement:
-    """Placement for about as many opened rows as ``pairs`` have; counts both tables, so have them staged."""
+    """Placement for about as many opened rows as ``pairs`` have; counts both tables, so have them staged.
+
+    ``lists`` are the ``recipe_lists`` of ``ingredients``, whose lengths need no shuffle.
+    """
     sizes = pairs.groupBy(user).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    length = ingredients.groupBy(recipe).agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("length"))
+    if lists is None:
+        lengths = ingredients.groupBy(recipe).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        lengths = lists.select(F.size(_LIST).alias("n"))
+    length = lengths.agg(F.avg("n").alias("length"))
     found = sizes.crossJoin(length).first()
     rows, most = found["n"] or 0, found["most"] or 0
     is_heavy = most > max(shard_rows or SHARD_ROWS, rows / MOST_KEYS)
@@ -89,6 +97,12 @@ def place_users(
     return Placement(tasks_for(rows * max(found["length"] or 1, 1), task_rows), heavy)
 
 
+def recipe_lists(ingredients: DataFrame, recipe: str = "RECIPE_ID") -> DataFrame:
+    """One row per recipe: its ingredient rows as a list. For :func:`open_lists`, when several need it."""
+    values = [c for c in ingredients.columns if c != recipe]
+    return ingredients.groupBy(recipe).agg(F.collect_list(F.struct(*values)).alias(_LIST))
+
+
 def open_lists(
     pairs: DataFrame,
     ingredients: DataFrame,
@@ -97,14 +111,19 @@ def open_lists(
     user: str,
     ingredient: str,
     how: str = "inner",
+    lists: DataFrame | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """``pairs`` with one row per ingredient of their recipe (``ingredients`` without ``recipe``), dealt by user.
 
-    A left join keeps a pair whose recipe lists nothing as one row with nulls.
+    A left join keeps a pair whose recipe lists nothing as one row with nulls. ``lists`` are the ``recipe_lists`` of
+    ``ingredients`` and may hold more columns; ``heavy`` are the heavy recipes of ``pairs``.
     """
     values = [c for c in ingredients.columns if c != recipe]
-    lists = ingredients.groupBy(recipe).agg(F.collect_list(F.struct(*values)).alias(_LIST))
-    found = place.cut_lists(salted_join(pairs, lists, [recipe], how, spread=[user]), user, ingredient)
+    if lists is None:
+        lists = recipe_lists(ingredients, recipe)
+    joined = salted_join(pairs, lists, [recipe], how, spread=[user], heavy=heavy)
+    found = place.cut_lists(joined, user, ingredient)
     # one array per value: half the bytes of an array of structs
     arrays = [F.col(_LIST)[v].alias(f"__l_{i}") for i, v in enumerate(values)]
     dealt = place.deal(found.select(*[c for c in found.columns if c != _LIST], *arrays), user)

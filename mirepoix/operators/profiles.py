@@ -30,11 +30,15 @@ def ingredient_idf(
 
 
 def user_nutrition_rows(
-    interactions: DataFrame, nutrition: DataFrame, recipe: str = "RECIPE_ID", user: str = "USER_ID"
+    interactions: DataFrame,
+    nutrition: DataFrame,
+    recipe: str = "RECIPE_ID",
+    user: str = "USER_ID",
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
-    """Nutrition of every recipe a user has: (user, recipe, nutrients)."""
+    """Nutrition of every recipe a user has: (user, recipe, nutrients). ``heavy`` are the heavy recipes, if known."""
     pairs = interactions.select(user, recipe)
-    return salted_join(pairs, nutrition, [recipe]).select(user, recipe, *nutrient_columns(nutrition))
+    return salted_join(pairs, nutrition, [recipe], heavy=heavy).select(user, recipe, *nutrient_columns(nutrition))
 
 
 def nutrition_profile(
@@ -43,9 +47,10 @@ def nutrition_profile(
     how: str = "avg",
     recipe: str = "RECIPE_ID",
     user: str = "USER_ID",
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """Per-user ``avg`` (3 decimals) or ``sum`` of every nutrient, as one row of columns."""
-    rows = user_nutrition_rows(interactions, nutrition, recipe, user)
+    rows = user_nutrition_rows(interactions, nutrition, recipe, user, heavy)
     if how == "avg":
         folded = [F.round(F.avg(c), 3).alias(c) for c in nutrient_columns(nutrition)]
     elif how == "sum":
@@ -55,6 +60,13 @@ def nutrition_profile(
     return rows.groupBy(user).agg(*folded)
 
 
+def weighted_ingredients(
+    ingredients: DataFrame, idf: DataFrame, recipe: str = "RECIPE_ID", ingredient: str = "ID_INGREDIENT"
+) -> DataFrame:
+    """The ingredient rows with their IDF; rows without one drop out."""
+    return salted_join(ingredients.select(recipe, ingredient), idf, [ingredient], spread=[recipe])
+
+
 def ingredient_profile(
     interactions: DataFrame,
     ingredients: DataFrame,
@@ -64,20 +76,23 @@ def ingredient_profile(
     user: str = "USER_ID",
     ingredient: str = "ID_INGREDIENT",
     place: Placement | None = None,
+    lists: DataFrame | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """How often an ingredient occurs over the user's recipes, plain and IDF-weighted (4 decimals).
 
     The IDF is attached to the ingredient rows before they fan out to users, the smaller of the two
     places it could be joined. ``relative`` adds the frequency per recipe of the user. With ``place`` the rows stay
-    where it deals them, with the shard of a heavy user as a column.
+    where it deals them, with the shard of a heavy user as a column. ``lists`` are the ``recipe_lists`` of
+    ``weighted_ingredients``, ``heavy`` the heavy recipes of ``interactions``.
     """
-    weighted = salted_join(ingredients.select(recipe, ingredient), idf, [ingredient], spread=[recipe])
+    weighted = weighted_ingredients(ingredients, idf, recipe, ingredient)
     pairs = interactions.select(user, recipe)
     dealt = place or place_users(pairs, ingredients, recipe, user)
     if relative:
         # on the pairs, of which there are far fewer than rows of the profile
         pairs = salted_join(pairs, group_count(pairs, [user], "__n"), [user], spread=[recipe])
-    rows = open_lists(pairs, weighted, dealt, recipe, user, ingredient)
+    rows = open_lists(pairs, weighted, dealt, recipe, user, ingredient, lists=lists, heavy=heavy)
     counted = [F.count(F.lit(1)).alias("ABSOLUTE_FREQUENCY"), F.max("IDF").alias("__idf")]
     if relative:
         counted.append(F.max("__n").alias("__n"))

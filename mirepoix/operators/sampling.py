@@ -29,11 +29,15 @@ def type_split(
     min_recipes: int = 30,
     user: str = "USER_ID",
     kind: str = "type",
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
-    """Interactions of eligible users with SPLIT = train for own recipes, test for reviews."""
+    """Interactions of eligible users with SPLIT = train for own recipes, test for reviews.
+
+    ``heavy`` are the heavy users, if known.
+    """
     users = eligible_users(stats, min_reviews, min_recipes, user)
     side = F.when(F.col(kind) == "recipes", "train").otherwise("test")
-    return filter_by_keys(interactions, users, [user]).withColumn("SPLIT", side)
+    return filter_by_keys(interactions, users, [user], heavy).withColumn("SPLIT", side)
 
 
 def recipe_id_split(interactions: DataFrame, recipe: str = "RECIPE_ID", kind: str = "type") -> DataFrame:

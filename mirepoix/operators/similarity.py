@@ -30,13 +30,13 @@ def nutrition_similarity(
     recipe: str = "RECIPE_ID",
     user: str = "USER_ID",
     name: str = "NUTRITION_SIMILARITY",
-    counted: DataFrame | None = None,
+    heavy: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """``pairs`` plus the cosine of the user's nutrition profile and the recipe's nutrition.
 
     0 for a recipe without nutrition, null where either vector has no length or the user no profile.
-    Vector lengths are computed once per user and per recipe, not per pair. ``counted`` is a table with the same
-    pairs to look for heavy keys in, for when ``pairs`` would have to be computed again for that.
+    Vector lengths are computed once per user and per recipe, not per pair. ``heavy`` are the heavy recipes and the
+    heavy users, for when ``pairs`` would have to be computed again to count them.
     """
     nutrients = nutrient_columns(nutrition)
     theirs = [F.col(f"__u_{c}") for c in nutrients]
@@ -49,8 +49,7 @@ def nutrition_similarity(
             l2_norm([F.col(c) for c in nutrients]).alias(f"__{tag}_norm"),
         )
 
-    counted = pairs if counted is None else counted
-    heavy_recipes, heavy_users = (heavy_keys(counted.select(key), [key]) for key in (recipe, user))
+    heavy_recipes, heavy_users = heavy or (heavy_keys(pairs.select(key), [key]) for key in (recipe, user))
     wide = salted_join(
         pairs, vectors(nutrition, recipe, "r"), [recipe], "left", spread=[user], heavy=heavy_recipes
     )
@@ -74,19 +73,24 @@ def ingredient_similarity(
     user: str = "USER_ID",
     ingredient: str = "ID_INGREDIENT",
     place: Placement | None = None,
+    lists: DataFrame | None = None,
+    heavy: DataFrame | None = None,
 ) -> DataFrame:
     """``pairs`` (distinct) plus, per weight, the cosine of the profile and the recipe's ingredients.
 
     A recipe is the vector with 1 at each of its ingredients, so the product is the sum of the user's
     weights over them. 0 for a recipe without ingredients, null for a user whose profile has no length.
-    ``place`` is where ``profile`` has been dealt: then it is not shuffled again.
+    ``place`` is where ``profile`` has been dealt: then it is not shuffled again. ``lists`` are the ``recipe_lists`` of
+    ``ingredients`` (those without ingredient may be missing), ``heavy`` the heavy recipes of ``pairs``.
     """
     dealt = place or place_users(pairs, ingredients, recipe, user)
     keys = dealt.keys(user)
     learnt = dealt.tag(profile, user, ingredient)
     if place is None:
         learnt = dealt.deal(learnt, user)
-    listed = open_lists(pairs, ingredients.select(recipe, ingredient), dealt, recipe, user, ingredient, "left")
+    listed = open_lists(
+        pairs, ingredients.select(recipe, ingredient), dealt, recipe, user, ingredient, "left", lists, heavy
+    )
     met = meet(learnt, listed, keys, ingredient, [w for w, _ in weights])
 
     def square(weight: str):
@@ -155,13 +159,19 @@ def similarity_table(
     recipe: str = "RECIPE_ID",
     user: str = "USER_ID",
     place: Placement | None = None,
+    lists: DataFrame | None = None,
+    heavy: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """The five similarities of each rated test pair, raw, scaled to 0-5 and rounded to ratings.
 
-    ``place`` is where ``ingredient_profile`` has been dealt.
+    ``place`` is where ``ingredient_profile`` has been dealt, ``lists`` the ``recipe_lists`` of ``ingredients``, ``heavy``
+    the heavy recipes and heavy users of ``test``.
     """
-    scored = ingredient_similarity(test, ingredient_profile, ingredients, recipe=recipe, user=user, place=place)
-    scored = nutrition_similarity(scored, nutrition_profile, nutrition, recipe=recipe, user=user, counted=test)
+    heavy = heavy or tuple(heavy_keys(test.select(key), [key]) for key in (recipe, user))
+    scored = ingredient_similarity(
+        test, ingredient_profile, ingredients, recipe=recipe, user=user, place=place, lists=lists, heavy=heavy[0]
+    )
+    scored = nutrition_similarity(scored, nutrition_profile, nutrition, recipe=recipe, user=user, heavy=heavy)
     full = scaled_similarity(blend(scored))
     order = [*test.columns, *SCORE_NAMES, *[b for b, _ in SCORE_NAMES.values()], *[s for _, s in SCORE_NAMES.values()]]
     return full.select(*order)

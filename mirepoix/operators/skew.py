@@ -19,15 +19,19 @@ MOST_KEYS = 50_000
 _ROWS, _SHARDS, _SALT = "__rows", "__shards", "__salt"
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], shard_rows: int | None = None) -> DataFrame:
+def heavy_keys(
+    df: DataFrame, keys: Sequence[str], shard_rows: int | None = None, total: Column | None = None
+) -> DataFrame:
     """The keys with more than ``shard_rows`` rows (default ``SHARD_ROWS``), and the number of shards to cut
     each into.
 
     No key with more than a ``MOST_KEYS``-th of all rows is left out, and no more than ``MOST_KEYS`` keys can
-    have as many: the result is safe to broadcast whatever the size of ``df``.
+    have as many: the result is safe to broadcast whatever the size of ``df``. ``total`` is the number of rows, for
+    when counting them is cheaper than adding up the keys once more.
     """
     sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_ROWS))
-    total = sized.agg(F.sum(_ROWS).alias(_ROWS)).scalar()
+    if total is None:
+        total = sized.agg(F.sum(_ROWS).alias(_ROWS)).scalar()
     least = F.greatest(F.lit(float(shard_rows or SHARD_ROWS)), total / MOST_KEYS)
     shards = F.ceil(F.col(_ROWS) / least).cast("int")
     return sized.filter(F.col(_ROWS) > least).select(*keys, shards.alias(_SHARDS))

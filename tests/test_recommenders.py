@@ -225,3 +225,35 @@ def test_heavy_users_are_cut(spark):
     place = place_users(pairs, listed, task_rows=20, shard_rows=10)
     assert place.tasks == 11 and rows(place.heavy) == [(1, 5)]
     assert place_users(pairs, listed).heavy is None and place_users(pairs.limit(0), listed).tasks == 1
+
+
+def test_ratings_come_with_the_pairs(spark):
+    """Ratings of the reviews among the interactions, without building or joining these a second time."""
+    from mirepoix.plans.content import ContentRecommender
+
+    schema = "USER_ID int, RECIPE_ID int, RECIPE_TYPE string, RATING int"
+    recipes = spark.createDataFrame([(r,) for r in range(6)], "RECIPE_ID int")
+    ingredients = spark.createDataFrame([(r, i) for r in range(6) for i in range(r % 3 + 1)], "RECIPE_ID int, ID_INGREDIENT int")
+    nutrition = spark.createDataFrame([(r, 2.0 + r, 1.0) for r in range(5)], "RECIPE_ID int, CALORIES double, FAT double")
+    interactions = spark.createDataFrame(
+        [
+            *[(1, r, "recipes", 1) for r in (0, 1, 1)],
+            *[(2, r, "recipes", 4) for r in (0, 3)],
+            (1, 2, "review", 3), (1, 2, "review", 5), (1, 3, "fav", 5), (1, 0, "fav", 5), (1, 0, "review", 2),
+            (2, 4, "review", None), (2, 3, None, 4), (2, 5, "review", 4), (None, 2, "review", 4), (3, 2, "review", 4),
+            (None, 1, "recipes", 1), (None, None, "review", 2),
+        ],
+        schema,
+    )
+    ratings = (
+        interactions.filter("RECIPE_TYPE = 'review'").groupBy("USER_ID", "RECIPE_ID").agg(F.max("RATING").alias("RATING"))
+    )
+    given, derived = (
+        ContentRecommender(recipes, ingredients, nutrition, interactions, r, min_reviews=1, min_recipes=1)
+        for r in (ratings, None)
+    )
+    assert rows(derived.test) == rows(given.test) == [(1, 0, 2), (1, 2, 5), (2, 4, None)]
+    assert not exchanged(derived.test) and "Join" not in derived.test._jdf.queryExecution().executedPlan().toString()
+    assert rows(derived.split) == rows(given.split)
+    assert rows(derived.ingredient_similarity()) == rows(given.ingredient_similarity())
+    assert rows(derived.similarities) == rows(given.similarities)
