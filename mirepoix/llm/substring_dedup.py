@@ -21,7 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from mirepoix.llm.common import MinMaxHash, mix, shingles, shingles_in_order, signed, small_batches, spread_join, word_hashes
+from mirepoix.llm.common import (
+    MinMaxHash,
+    likely_in,
+    mix,
+    shingles,
+    shingles_in_order,
+    signed,
+    small_batches,
+    spread_join,
+    word_hashes,
+)
 from mirepoix.llm.near_dedup import linked_groups
 from mirepoix.sources import stage, unstage
 
@@ -116,27 +126,28 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, l
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def paragraph_sets(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, least_words: int) -> DataFrame:
-    """``(id, h1, h2, items)`` of each paragraph."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    arrow = to_arrow_schema(StructType.fromDDL(f"id {kind}, h1 bigint, h2 bigint, items array<bigint>"))
+def paragraph_sets(texts: DataFrame, shingle_words: int, least_words: int) -> DataFrame:
+    """``(id, items)`` of the paragraphs that ``texts``, rows ``(text, wanted)``, are wanted for: structs
+    ``(class, h1, h2)``, of which ``class`` is the id."""
+    schema = "id bigint, items array<bigint>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
-            out: list[list] = [[] for _ in arrow]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids, sets = [], []
+            for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                classes = {(w["h1"], w["h2"]): w["class"] for w in wanted}
                 words = word_hashes(text)
-                if len(words) < max(1, least_words):
-                    continue
                 starts, _, feeds = word_places(text)
                 for a, b in zip(*lines_of(starts, feeds, len(text), least_words)[2:], strict=True):
-                    h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(words[a:b].tobytes()), np.int64).tolist()
-                    for column, value in zip(out, (doc, h1, h2, signed(shingles(words[a:b], shingle_words))), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+                    found = np.frombuffer(xxhash.xxh3_128_digest(words[a:b].tobytes()), np.int64).tolist()
+                    name = classes.pop(tuple(found), None)
+                    if name is not None:
+                        ids.append(name)
+                        sets.append(signed(shingles(words[a:b], shingle_words)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids, sets), arrow, strict=True)], schema=arrow)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, items array<bigint>")
+    return texts.select("text", "wanted").mapInArrow(run, schema)
 
 
 def repeated_stretches(found: DataFrame) -> DataFrame:
@@ -170,13 +181,15 @@ def repeated_passages(
     classes = stage(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        # the first paragraph of each wanted class, from its document
+        # the first paragraph of each wanted class, from its document: texts of other documents stay where they are,
+        # and sets are made where the text is
         homes = classes.join(wanted.withColumnRenamed("id", "class"), "class", "left_semi")
-        homes = stage(homes.select("class", "h1", "h2", F.col("first.id").alias(id_col)), "homes")
-        texts = docs.select(id_col, text_col).join(homes.select(id_col).distinct(), id_col, "left_semi")
-        found = paragraph_sets(texts, id_col, text_col, shingle_words, least_words)
-        found = found.withColumnRenamed("id", id_col).dropDuplicates([id_col, "h1", "h2"])
-        return homes.join(found, [id_col, "h1", "h2"]).select(F.col("class").alias("id"), "items")
+        homes = homes.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct("class", "h1", "h2")).alias("wanted"))
+        homes = stage(homes, "homes")
+        texts = likely_in(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), homes, "id")
+        # shuffled by the document whatever the size, so repeated rows of it are in one task already
+        texts = texts.join(homes.hint("merge"), "id").distinct()
+        return paragraph_sets(texts, shingle_words, least_words)
 
     groups = linked_groups(classes.select(F.col("class").alias("id"), "keys"), sets_of, percent)
     named = classes.select("class", "h1", "h2", "first", "last").join(groups.withColumnRenamed("node", "class"), "class", "left")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from mirepoix.llm.common import MinMaxHash
 from mirepoix.llm.substring_dedup import repeated_passages
@@ -105,3 +106,33 @@ def test_keys_of_many_sets_equal_those_of_each():
     sets = [draw.integers(0, 2**63, n, dtype=np.uint64) for n in (1, 5, 300, 2, 700, 40, 1)]
     assert (hashing.keys_of_all(sets, 100) == np.stack([hashing.keys(s) for s in sets])).all()
     assert hashing.keys_of_all([]).shape == (0, 14)
+
+
+def test_sets_are_made_of_wanted_paragraphs_only(spark, documents, monkeypatch):
+    """One of two unlike paragraphs of a document has a near copy elsewhere; a row of it is repeated."""
+    from mirepoix.llm import substring_dedup
+
+    def passage(tag, n=60):
+        return " ".join(f"{tag}{i}" for i in range(n))
+
+    rows = [(7, passage("a") + "\n" + passage("b")), (7, passage("a") + "\n" + passage("b")), (8, passage("a") + " more")]
+    rows += [(i, passage(f"x{i}y")) for i in range(20, 60)]
+    made = []
+    sets = substring_dedup.paragraph_sets
+    monkeypatch.setattr(substring_dedup, "paragraph_sets", lambda *args: made.append(sets(*args)) or made[-1])
+    got = {r.doc_id: r.first_id for r in repeated_passages(documents(*rows)).collect() if r.kind == "paragraph"}
+    assert got == {7: 7, 8: 7}
+    # both paragraphs of 7, once a row, and that of 8 before
+    assert made[0].count() == 2
+
+
+def test_likely_in_keeps_all_keys_and_few_others(spark):
+    from mirepoix.llm.common import likely_in
+
+    docs = spark.range(20_000).withColumnRenamed("id", "doc").withColumn("text", F.col("doc").cast("string"))
+    wanted = docs.filter("doc % 10 = 3").select("doc")
+    found = likely_in(docs, wanted, "doc")
+    assert found.columns == docs.columns
+    assert found.join(wanted, "doc").count() == 2000 and found.count() < 2100
+    named = docs.select(F.col("text").alias("doc"))
+    assert likely_in(named, named.limit(0), "doc").count() == 0
