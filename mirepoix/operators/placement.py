@@ -16,8 +16,14 @@ from pyspark.sql import functions as F
 
 from mirepoix.operators.skew import MOST_KEYS, SHARD_ROWS, heavy_keys, salted_join
 
-#: Opened rows a task holds, on average.
+#: Rows a task holds, on average.
 TASK_ROWS = 1_000_000
+#: Opened rows a task of users holds, on average: it aggregates and sorts them, so they should fit its memory.
+USER_ROWS = 250_000
+#: Tasks of users whose pairs meet their lists in one task: it holds lists, not opened rows.
+USERS_A_JOIN = 64
+#: Fewer tasks than this are left to Spark, which may broadcast the lists.
+LEAST_JOINS = 16
 
 #: Shard of a heavy user; its ingredients are dealt to the shards by their hash.
 PART = "__part"
@@ -44,6 +50,12 @@ class Placement:
     def keys(self, user: str) -> list[str]:
         return [user] if self.heavy is None else [user, PART]
 
+    @property
+    def joins(self) -> int | None:
+        """Tasks in which pairs get their lists, none of which has too large an output; None if Spark may choose."""
+        tasks = -(-self.tasks // USERS_A_JOIN)
+        return tasks if tasks >= LEAST_JOINS else None
+
     def deal(self, df: DataFrame, user: str) -> DataFrame:
         return df.repartition(self.tasks, *self.keys(user))
 
@@ -76,7 +88,7 @@ def place_users(
     ingredients: DataFrame,
     recipe: str = "RECIPE_ID",
     user: str = "USER_ID",
-    task_rows: int = TASK_ROWS,
+    task_rows: int = USER_ROWS,
     shard_rows: int | None = None,
     lists: DataFrame | None = None,
 ) -> Placement:
@@ -97,10 +109,19 @@ def place_users(
     return Placement(tasks_for(rows * max(found["length"] or 1, 1), task_rows), heavy)
 
 
-def recipe_lists(ingredients: DataFrame, recipe: str = "RECIPE_ID") -> DataFrame:
-    """One row per recipe: its ingredient rows as a list. For :func:`open_lists`, when several need it."""
+def recipe_lists(ingredients: DataFrame, recipe: str = "RECIPE_ID", distinct: bool = False) -> DataFrame:
+    """One row per recipe: its ingredient rows as a list, with ``distinct`` each once. For :func:`open_lists`, when
+    several need it."""
     values = [c for c in ingredients.columns if c != recipe]
-    return ingredients.groupBy(recipe).agg(F.collect_list(F.struct(*values)).alias(_LIST))
+    collect = F.collect_set if distinct else F.collect_list
+    return ingredients.groupBy(recipe).agg(collect(F.struct(*values)).alias(_LIST))
+
+
+def list_rows(lists: DataFrame) -> DataFrame:
+    """The ingredient rows that :func:`recipe_lists` made ``lists`` of."""
+    return lists.select(*[c for c in lists.columns if c != _LIST], F.explode(_LIST).alias("__e")).select(
+        *[c for c in lists.columns if c != _LIST], "__e.*"
+    )
 
 
 def open_lists(
@@ -122,7 +143,7 @@ def open_lists(
     values = [c for c in ingredients.columns if c != recipe]
     if lists is None:
         lists = recipe_lists(ingredients, recipe)
-    joined = salted_join(pairs, lists, [recipe], how, spread=[user], heavy=heavy)
+    joined = salted_join(pairs, lists, [recipe], how, spread=[user], heavy=heavy, tasks=place.joins)
     found = place.cut_lists(joined, user, ingredient)
     # one array per value: half the bytes of an array of structs
     arrays = [F.col(_LIST)[v].alias(f"__l_{i}") for i, v in enumerate(values)]

@@ -11,6 +11,10 @@ from mirepoix.operators.activity import group_count
 from mirepoix.operators.placement import Placement, open_lists, place_users
 from mirepoix.operators.skew import salted_join
 
+#: Ingredients whose IDF may be broadcast: some 30 MB.
+MOST_SMALL_IDF = 1_000_000
+
+
 def nutrient_columns(df: DataFrame, keys: Sequence[str] = ("RECIPE_ID", "USER_ID")) -> list[str]:
     """Every column that is not a key."""
     return [c for c in df.columns if c not in set(keys)]
@@ -78,6 +82,7 @@ def ingredient_profile(
     place: Placement | None = None,
     lists: DataFrame | None = None,
     heavy: DataFrame | None = None,
+    small_idf: bool = False,
 ) -> DataFrame:
     """How often an ingredient occurs over the user's recipes, plain and IDF-weighted (4 decimals).
 
@@ -85,18 +90,27 @@ def ingredient_profile(
     places it could be joined. ``relative`` adds the frequency per recipe of the user. With ``place`` the rows stay
     where it deals them, with the shard of a heavy user as a column. ``lists`` are the ``recipe_lists`` of
     ``weighted_ingredients``, ``heavy`` the heavy recipes of ``interactions``.
+
+    ``small_idf`` says that ``idf`` has one row per ingredient and at most ``MOST_SMALL_IDF`` rows: then it is broadcast
+    to the finished counts, and lists travel without it (``lists`` are those of ``ingredients``).
     """
-    weighted = weighted_ingredients(ingredients, idf, recipe, ingredient)
+    listed = ingredients.select(recipe, ingredient)
+    if not small_idf:
+        listed = weighted_ingredients(ingredients, idf, recipe, ingredient)
     pairs = interactions.select(user, recipe)
     dealt = place or place_users(pairs, ingredients, recipe, user)
     if relative:
         # on the pairs, of which there are far fewer than rows of the profile
         pairs = salted_join(pairs, group_count(pairs, [user], "__n"), [user], spread=[recipe])
-    rows = open_lists(pairs, weighted, dealt, recipe, user, ingredient, lists=lists, heavy=heavy)
-    counted = [F.count(F.lit(1)).alias("ABSOLUTE_FREQUENCY"), F.max("IDF").alias("__idf")]
+    rows = open_lists(pairs, listed, dealt, recipe, user, ingredient, lists=lists, heavy=heavy)
+    counted = [F.count(F.lit(1)).alias("ABSOLUTE_FREQUENCY")]
+    if not small_idf:
+        counted.append(F.max("IDF").alias("__idf"))
     if relative:
         counted.append(F.max("__n").alias("__n"))
     profile = rows.groupBy(*dealt.keys(user), ingredient).agg(*counted)
+    if small_idf:
+        profile = profile.join(F.broadcast(idf.select(ingredient, F.col("IDF").alias("__idf"))), ingredient)
     columns = [
         *(dealt.keys(user) if place else [user]),
         ingredient,

@@ -46,6 +46,7 @@ def salted_join(
     heavy: DataFrame | None = None,
     shard_rows: int | None = None,
     fan_out: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """USING join of a possibly skewed ``left`` with ``right``; same rows as the plain join.
 
@@ -54,7 +55,8 @@ def salted_join(
     is run again, as a random number need not. ``heavy`` is a result of :func:`heavy_keys` over some of the
     ``on`` columns, for when it can be had from a smaller table than ``left``. ``fan_out`` says that a
     row meets many: then both sides are shuffled, as a broadcast would leave the much larger output in
-    the few tasks of the streamed side.
+    the few tasks of the streamed side. ``tasks`` deals both sides to so many tasks, for when the output of a task
+    would be too large otherwise.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot spread the left side of a {how} join")
@@ -80,6 +82,8 @@ def salted_join(
     copied_right = right.join(hot, heavy_on, "left").select(
         *right.columns, F.explode(F.sequence(F.lit(0), shards - 1)).alias(_SALT)
     )
-    if fan_out:
+    if tasks is not None:
+        spread_left, copied_right = (df.repartition(tasks, *on, _SALT) for df in (spread_left, copied_right))
+    if fan_out or tasks is not None:
         copied_right = copied_right.hint("merge")
     return spread_left.join(copied_right, [*on, _SALT], how).drop(_SALT)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mirepoix.operators import ingest, profiles, sampling, similarity
 from mirepoix.operators.activity import group_count, user_stats
-from mirepoix.operators.placement import Placement, place_users, recipe_lists
+from mirepoix.operators.placement import Placement, list_rows, place_users, recipe_lists
 from mirepoix.operators.skew import heavy_keys
 from mirepoix.sources import stage
 
@@ -55,8 +55,13 @@ class ContentRecommender:
 
     @cached_property
     def valid_ingredients(self) -> DataFrame:
-        listed = self.ingredients.select("RECIPE_ID", "ID_INGREDIENT").distinct()
-        return self._keep(listed.join(self.valid, "RECIPE_ID", "left_semi"), "valid_ingredients")
+        return list_rows(self.lists)
+
+    @cached_property
+    def lists(self) -> DataFrame:
+        """The ingredients of each valid recipe as one list without repeats; for rows, training and test."""
+        listed = recipe_lists(self.ingredients.select("RECIPE_ID", "ID_INGREDIENT"), distinct=True)
+        return self._keep(listed.join(self.valid, "RECIPE_ID", "left_semi"), "recipe_lists")
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -147,20 +152,24 @@ class ContentRecommender:
         return profiles.nutrition_profile(self.training, self.valid_nutrition, how, heavy=self.heavy_recipes)
 
     @cached_property
-    def lists(self) -> DataFrame:
-        """The ingredients of each valid recipe, with their IDF, as one list; for training and test."""
-        weighted = profiles.weighted_ingredients(self.valid_ingredients, self.idf)
-        return self._keep(recipe_lists(weighted), "recipe_lists")
+    def kept_idf(self) -> DataFrame:
+        return self._keep(self.idf, "idf")
 
     def ingredient_profile(self, relative: bool = False, place: Placement | None = None) -> DataFrame:
+        small = self.kept_idf.count() <= profiles.MOST_SMALL_IDF
+        lists = self.lists
+        if not small:
+            weighted = profiles.weighted_ingredients(self.valid_ingredients, self.kept_idf)
+            lists = self._keep(recipe_lists(weighted), "weighted_lists")
         return profiles.ingredient_profile(
             self.training,
             self.valid_ingredients,
-            self.idf,
+            self.kept_idf,
             relative,
             place=place,
-            lists=self.lists,
+            lists=lists,
             heavy=self.heavy_recipes,
+            small_idf=small,
         )
 
     @cached_property

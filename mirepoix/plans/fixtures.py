@@ -20,7 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """USER_ID, RECIPE_ID, RECIPE_TYPE, RATING, ID: one row per order line."""
-    lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     kind = (
         F.when(F.col("l_returnflag") == "N", "review")
@@ -28,26 +27,37 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_linestatus") == "F", "fav")
         .otherwise("madeit")
     )
-    return lines.join(orders, "l_orderkey").select(
-        F.col("o_custkey").alias("USER_ID"),
+    # before the join, so that narrower rows are shuffled
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
         F.col("l_partkey").alias("RECIPE_ID"),
         kind.alias("RECIPE_TYPE"),
         F.ceil(F.col("l_quantity") / 10).cast("int").alias("RATING"),
         (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ID"),
     )
+    return lines.join(orders, "l_orderkey").select(
+        F.col("o_custkey").alias("USER_ID"), "RECIPE_ID", "RECIPE_TYPE", "RATING", "ID"
+    )
 
 
 def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("RECIPE_ID"), F.col("p_name").alias("NAME"))
 
 
+def _ingredient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("RECIPE_ID"), F.col("l_suppkey").alias("ID_INGREDIENT")
+    )
+
+
 def raw_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RECIPE_ID, ID_INGREDIENT with the sentinel ingredient 0 still in."""
-    return (
-        table(spark, sf_dir, "lineitem")
-        .select(F.col("l_partkey").alias("RECIPE_ID"), F.col("l_suppkey").alias("ID_INGREDIENT"))
-        .distinct()
-    )
+    return _ingredient_lines(spark, sf_dir).distinct()
+
+
+def ingredient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``ingredients`` with their repeats, for readers that remove them anyway."""
+    return drop_sentinel(_ingredient_lines(spark, sf_dir), "ID_INGREDIENT")
 
 
 def ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:

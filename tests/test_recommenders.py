@@ -257,3 +257,62 @@ def test_ratings_come_with_the_pairs(spark):
     assert rows(derived.split) == rows(given.split)
     assert rows(derived.ingredient_similarity()) == rows(given.ingredient_similarity())
     assert rows(derived.similarities) == rows(given.similarities)
+
+
+def test_small_idf_is_met_after_the_lists(spark, kitchen):
+    """Lists without IDF give the profile that lists with IDF give, wherever users are, and shuffle narrower rows."""
+    training = spark.createDataFrame(
+        [(1, 100), (1, 101), (1, 100), (2, 100), (2, 102), (2, 999), (None, 100), (3, None)], "USER_ID int, RECIPE_ID int"
+    )
+    listed = spark.createDataFrame(
+        [(100, 7), (100, 8), (101, 7), (102, 7), (102, 9), (102, None), (None, 7)], "RECIPE_ID int, ID_INGREDIENT int"
+    )
+    idf = profiles.ingredient_idf(kitchen["recipes"], listed.filter("ID_INGREDIENT > 7"))
+    for place in placements(spark):
+        for relative in (False, True):
+            late = profiles.ingredient_profile(training, listed, idf, relative, place=place, small_idf=True)
+            early = profiles.ingredient_profile(training, listed, idf, relative, place=place)
+            assert rows(late) == rows(early) != [] and late.columns == early.columns
+    late = profiles.ingredient_profile(training, listed, idf, place=placements(spark)[1], small_idf=True)
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    dealt = next(line for line in plan.split("\n") if "RepartitionByExpression" in line)
+    assert "__l_0" in plan and "__l_1" not in plan, dealt
+
+
+def test_large_idf_travels_with_the_lists(spark, monkeypatch):
+    """Whatever the number of ingredients, the recommender gives the same profiles; repeats of rows change nothing."""
+    from mirepoix.plans.content import ContentRecommender
+
+    recipes = spark.createDataFrame([(r,) for r in range(6)], "RECIPE_ID int")
+    once = [(r, i) for r in range(6) for i in range(r % 3 + 1)]
+    nutrition = spark.createDataFrame([(r, 2.0 + r, 1.0) for r in range(5)], "RECIPE_ID int, CALORIES double, FAT double")
+    interactions = spark.createDataFrame(
+        [(u, r, kind, 1 + (u + r) % 5) for u in range(4) for r in range(6) for kind in ("recipes", "review")],
+        "USER_ID int, RECIPE_ID int, RECIPE_TYPE string, RATING int",
+    )
+
+    def tables(listed):
+        ingredients = spark.createDataFrame(listed, "RECIPE_ID int, ID_INGREDIENT int")
+        c = ContentRecommender(recipes, ingredients, nutrition, interactions, min_reviews=1, min_recipes=1)
+        assert rows(c.valid_ingredients) == sorted(((r, i) for r, i in once if r < 5), key=str)
+        return [rows(df) for df in (c.idf, c.ingredient_profile(True), c.ingredient_similarity(), c.similarities)]
+
+    small = tables(once * 3)
+    monkeypatch.setattr(profiles, "MOST_SMALL_IDF", 0)
+    assert tables(once) == small and all(small)
+
+
+def test_join_of_many_pairs_is_dealt(spark):
+    """A join that opens much is dealt to tasks by its size and not left to the number of files; same rows."""
+    from mirepoix.operators import placement
+
+    place = placement.Placement(placement.USERS_A_JOIN * placement.LEAST_JOINS)
+    assert place.joins == placement.LEAST_JOINS and placement.Placement(place.tasks - placement.USERS_A_JOIN).joins is None
+    pairs = spark.createDataFrame([(u, r) for u in range(9) for r in (1, 2, 3, None)], "USER_ID int, RECIPE_ID int")
+    listed = spark.createDataFrame([(1, 7), (1, 8), (2, 7)], "RECIPE_ID int, ID_INGREDIENT int")
+    for how in ("inner", "left"):
+        args = "RECIPE_ID", "USER_ID", "ID_INGREDIENT", how
+        many = placement.open_lists(pairs, listed, place, *args)
+        assert many._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") < 3
+        assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString()
+        assert rows(many) == rows(placement.open_lists(pairs, listed, placement.Placement(2), *args))
